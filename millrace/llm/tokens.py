@@ -4,48 +4,62 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
-#: White space on which both tokenizers below always split: a chunk is some of it and then a run of anything else.
+#: A chunk is some ASCII white space and then a run of anything else.
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
-#: Characters that one library or the other takes for white space, but not both.
-ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-#: Words kept in a worker; then it starts afresh, so that its memory is bounded.
-KEPT = 400_000
+#: Characters that one library or the other takes for white space, beside those of CHUNK.
+ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+#: Western letters, then ASCII marks without apostrophe: the tokenizer parts the two, and keeps each apart from neighbours.
+PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)")
+#: Words, and letter runs, kept in a worker; beyond that it starts afresh, so its memory is bounded.
+KEPT_WORDS, KEPT_RUNS = 800_000, 800_000
 
 Encode = Callable[[list[str]], list[bytes]]
 
 
-class Words(dict):
-    """word -> its ids as little-endian uint32 bytes, bounded in number."""
+class Kept(dict):
+    """text -> its ids as little-endian uint32 bytes, bounded in number; new texts are encoded together."""
 
-    def __init__(self, encode: Encode):
+    def __init__(self, encode: Encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KEPT:
+    def learn(self, texts: set[str]) -> None:
+        new = [t for t in texts if t not in self]
+        if len(self) + len(new) > self.most:
             self.clear()
-            new = list(words)
+            new = list(texts)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.update(zip(part, self.encode(part)))
 
 
-def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> Encode:
     """Ids of whole texts by a ``tokenizers`` file that drops white space, without special tokens.
 
-    Such a tokenizer never joins what ASCII white space parts, so a text's ids are
-    those of its words one after the other, and each distinct word is encoded once a batch.
+    Such a tokenizer never joins what ASCII white space parts, so a text's ids are those
+    of its words one after the other; and it parts letters from marks, so
+    "Word," has the ids of "word" and those of ",". Each of these is encoded once.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known = Words(lambda words: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+    runs = Kept(lambda words: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)], KEPT_RUNS)
+
+    def by_runs(words: list[str]) -> list[bytes]:
+        found = list(map(PLAIN.fullmatch, words))
+        heads = [w if m is None else m[1].lower() for w, m in zip(words, found)]
+        tails = ["" if m is None else m[2] for m in found]
+        runs.learn({*heads, *tails})
+        return [runs[a] + runs[b] if b else runs[a] for a, b in zip(heads, tails)]
+
+    known = Kept(by_runs, KEPT_WORDS)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -55,7 +69,8 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def rank_tokenizer(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
+@lru_cache(maxsize=2)
+def rank_tokenizer(path: str, pattern: str) -> Encode:
     """Ids of whole texts by a ``tiktoken`` rank file; decoding them gives the text again.
 
     The pattern never matches across the end of a word, so chunks of white space and a
@@ -69,7 +84,7 @@ def rank_tokenizer(path: str, pattern: str) -> Callable[[list[str]], list[bytes]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     one = lambda text: np.asarray(encoding.encode_ordinary(text), "<u4").tobytes()
-    known = Words(lambda words: [one(w) for w in words])
+    known = Kept(lambda words: [one(w) for w in words], KEPT_RUNS)
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
