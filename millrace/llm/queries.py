@@ -5,7 +5,8 @@ from __future__ import annotations
 from millrace.llm.bins import op2_token_matrices
 from millrace.llm.mixing import OP3_SQL, op3_mixing
 from millrace.llm.packing import op10_packing
+from millrace.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op2_token_matrices, op3_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_matrices, op3_mixing, op9_simhash, op10_packing)}
 
 SQL = {"op3_mixing": OP3_SQL}
