@@ -15,6 +15,8 @@ CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 #: Western letters, then ASCII marks without apostrophe: the tokenizer parts the two, and keeps each apart from neighbours.
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)")
+#: What the tokenizer surely takes as one run: its last id, and no other, is one that ends words.
+ONE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+")
 #: Words, and letter runs, kept in a worker; beyond that it starts afresh, so its memory is bounded.
 KEPT_WORDS, KEPT_RUNS = 800_000, 800_000
 
@@ -50,7 +52,27 @@ def word_tokenizer(path: str) -> Encode:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    runs = Kept(lambda words: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)], KEPT_RUNS)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def by_ends(words: list[str]) -> list[bytes]:
+        """Single runs are encoded as one text and told apart by the ids that end words; others one by one."""
+        single = [w for w in words if ONE.fullmatch(w)]
+        ids = np.asarray(tokenizer.encode(" ".join(single), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) != len(single):
+            return one_by_one(words)
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        found = dict(zip(single, [raw[a:b] for a, b in zip([0, *at], at)]))
+        other = [w for w in words if w not in found]
+        found.update(zip(other, one_by_one(other)))
+        return [found[w] for w in words]
+
+    runs = Kept(by_ends, KEPT_RUNS)
 
     def by_runs(words: list[str]) -> list[bytes]:
         found = list(map(PLAIN.fullmatch, words))
