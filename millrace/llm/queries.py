@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from millrace.llm.bins import op2_token_matrices
 from millrace.llm.language import op4_language
+from millrace.llm.minhash import op5_minhash
 from millrace.llm.mixing import OP3_SQL, op3_mixing
 from millrace.llm.neighbours import op1_neighbours
 from millrace.llm.packing import op10_packing
 from millrace.llm.quality import op7_quality
 from millrace.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op7_quality, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op7_quality, op9_simhash, op10_packing)}
 
 SQL = {"op3_mixing": OP3_SQL}
