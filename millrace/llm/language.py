@@ -125,8 +125,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     plain = docs.drop("lang_pred", "score", "rejected")
     none = F.coalesce(~F.col("text").rlike(r"\p{L}"), F.lit(True))
-    marked = predict(plain.withColumn("_none", none), model)
-    none = F.col("_none") | F.col("lang_pred").isNull()
+    marked = predict(plain.withColumn("__none", none), model)
+    none = F.col("__none") | F.col("lang_pred").isNull()
     return marked.select(
         *plain.columns,
         F.when(none, UNKNOWN).otherwise(F.col("lang_pred")).alias("lang_pred"),

@@ -86,16 +86,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     their epochs are added and dealt out evenly among them.
     """
     epochs = mix(docs, **options)
-    plan = epochs.groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(F.sum("epochs").alias("_sum"), F.count("*").alias("_n"))
-    rows = docs.withColumn("_key", F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
-    joined = rows.alias("r").join(plan.alias("p").hint("merge"), F.col("r._key").eqNullSafe(F.col("p._key")))
-    joined = joined.select("r.*", "_sum", "_n")
-    alike = joined.filter("_n > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"))))
-    alike = alike.withColumn("_times", F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_nth") <= F.col("_sum") % F.col("_n"), 1).otherwise(0))
-    alone = joined.filter("_n = 1").withColumn("_times", F.col("_sum"))
+    plan = epochs.groupBy(F.struct("doc_id", "source", "size").alias("__key")).agg(F.sum("epochs").alias("__sum"), F.count("*").alias("__n"))
+    rows = docs.withColumn("__key", F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
+    joined = rows.alias("r").join(plan.alias("p").hint("merge"), F.col("r.__key").eqNullSafe(F.col("p.__key")))
+    joined = joined.select("r.*", "__sum", "__n")
+    alike = joined.filter("__n > 1").withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text"))))
+    alike = alike.withColumn("__times", F.floor(F.col("__sum") / F.col("__n")) + F.when(F.col("__nth") <= F.col("__sum") % F.col("__n"), 1).otherwise(0))
+    alone = joined.filter("__n = 1").withColumn("__times", F.col("__sum"))
     cols = [F.col(c) for c in docs.columns]
-    both = alone.select(*cols, F.col("_times").cast("int").alias("_times")).unionAll(alike.select(*cols, F.col("_times").cast("int").alias("_times")))
-    return both.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    both = alone.select(*cols, F.col("__times").cast("int").alias("__times")).unionAll(alike.select(*cols, F.col("__times").cast("int").alias("__times")))
+    return both.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
