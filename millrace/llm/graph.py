@@ -24,9 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         seen = mark
         both = now.select(F.col("u").alias("n"), F.col("v").alias("o")).unionAll(now.select(F.col("v").alias("n"), F.col("u").alias("o")))
-        least = both.groupBy("n").agg(F.min("o").alias("m")).select(F.col("n").alias("_n"), F.least("n", "m").alias("m"))
+        # written out, so that both sides of the join are plain shuffles, and a hub's edges can be split
+        least = cut(both.groupBy("n").agg(F.min("o").alias("m")).select(F.col("n").alias("_n"), F.least("n", "m").alias("m")))
         large = both.filter("o > n").join(least.hint("merge"), F.col("n") == F.col("_n")).select(F.col("o").alias("v"), F.col("m").alias("u")).distinct()
-        lowest = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("_v"), "m")
+        large = cut(large)
+        lowest = cut(large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("_v"), "m"))
         joined = large.join(lowest.hint("merge"), F.col("v") == F.col("_v"))
         moved = joined.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = cut(moved.unionAll(lowest.select(F.col("_v").alias("v"), F.col("m").alias("u"))).distinct())
