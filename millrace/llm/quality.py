@@ -18,7 +18,7 @@ GRAMS, SIZES = 2048, (1, 2, 3)
 MEASURES = 6
 DIMS = GRAMS + MEASURES
 #: Labelled texts that vote, at most; latent dimensions; neighbours that vote; power of similarity in a vote.
-SAMPLE, RANK, NEIGHBOURS, POWER = 4000, 48, 25, 4
+SAMPLE, RANK, NEIGHBOURS, POWER = 4000, 48, 9, 8
 SEED = 3
 #: Weight of the measures beside the n-grams, which have length 1.
 WEIGHT = 1.0
@@ -55,7 +55,6 @@ class Model:
 
     idf: np.ndarray
     axes: np.ndarray
-    scale: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
@@ -97,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     if not ids:
         return None
     idf = inverse_frequency(texts, seen[:GRAMS])
-    model = Model(idf, np.eye(1), np.ones(1), np.zeros((1, 1)), np.array([chosen[i] for i in ids], np.float32))
+    model = Model(idf, np.eye(1), np.zeros((1, 1)), np.array([chosen[i] for i in ids], np.float32))
     x = np.c_[damped(found[:, :GRAMS], idf), WEIGHT * np.sqrt(found[:, GRAMS:])].astype(np.float32)
     model.axes = axes_of(x, rank)
     model.vectors = model.latent(found)
