@@ -17,9 +17,11 @@ from millrace.llm.common import documents
 
 LENGTH = 50
 #: Bytes of text that one group of documents, and one bucket of anchors, stands for, at least about.
-GROUP, BUCKET = 4 << 20, 8 << 20
+GROUP, BUCKET = 3 << 20, 6 << 20
 #: Bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Windows that are sorted at once, but for those of a single anchor.
+WINDOWS = 100_000
 #: Groups that share an anchor before its windows are dealt out one by one.
 HOT = 1024
 U = np.uint64
@@ -196,6 +198,18 @@ def previous_factors(order: np.ndarray, same: np.ndarray) -> np.ndarray:
     return before | after
 
 
+def flag_earlier(masks: np.ndarray, heads: np.ndarray, doc: np.ndarray, many: np.ndarray, content: np.ndarray, length: int) -> None:
+    """Sets the bits of the windows of ``heads`` that have a longest previous factor of full length among them."""
+    heads = heads[np.argsort(doc[heads], kind="stable")]
+    which = np.repeat(heads, many[heads])
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(many[heads]) - many[heads], many[heads])
+    rows = np.lib.stride_tricks.sliding_window_view(content, length, axis=1)[which, nth]
+    by = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
+    rows = rows[by]
+    earlier = by[previous_factors(doc[which[by]], np.r_[False, (rows[1:] == rows[:-1]).all(1)])]
+    np.bitwise_or.at(masks, which[earlier], np.uint32(1) << nth[earlier].astype(np.uint32))
+
+
 def earlier_windows(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, many: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
     """Per entry a bit for each of its windows that an entry of a smaller document has as well.
 
@@ -217,17 +231,13 @@ def earlier_windows(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, many
     apart = anchor[heads]
     shared = np.r_[False, apart[1:] == apart[:-1]] | np.r_[apart[1:] == apart[:-1], False]
     heads = heads[shared]
-    if len(heads):
-        heads = heads[np.argsort(doc[heads], kind="stable")]
-        which = np.repeat(heads, many[heads])
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(many[heads]) - many[heads], many[heads])
-        rows = np.lib.stride_tricks.sliding_window_view(content, length, axis=1)[which, nth]
-        suffixes = np.ascontiguousarray(rows).view(f"S{length}").ravel()
-        by = np.argsort(suffixes, kind="stable")
-        rows = rows[by]
-        same = np.r_[False, (rows[1:] == rows[:-1]).all(1)]
-        earlier = by[previous_factors(doc[which[by]], same)]
-        np.bitwise_or.at(masks, which[earlier], np.uint32(1) << nth[earlier].astype(np.uint32))
+    # some whole anchors at a time, so that the windows laid out at once are bounded
+    ends = np.flatnonzero(np.r_[anchor[heads][1:] != anchor[heads][:-1], True]) + 1 if len(heads) else []
+    begin, total = 0, np.cumsum(many[heads])
+    for e in ends:
+        if total[e - 1] - (total[begin - 1] if begin else 0) >= WINDOWS or e == len(heads):
+            flag_earlier(masks, heads[begin:e], doc, many, content, length)
+            begin = e
     # what the first of a content has from elsewhere, its equals of the same document have too
     masks[order] |= np.where(d == d[lead], masks[order[lead]], 0).astype(np.uint32)
     return masks
