@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -15,8 +16,9 @@ from millrace.llm.common import cut, documents
 from millrace.llm.graph import components
 
 BITS, SHINGLE, SEED = 3, 3, 42
-#: Shingles hashed at once.
-STEP = 50_000
+#: Bytes of a text that are split and hashed at once, up to the next white space.
+STEP = 300_000
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Low bit of each of the 32 two-bit segments, as a signed 64-bit value.
 LOW = 0x5555555555555555
 
@@ -25,16 +27,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     """SimHash of a text's word shingles, repeats included; unsigned 64 bits."""
     from xxhash import xxh64_digest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return int.from_bytes(xxh64_digest(b" ".join(words), seed), "big")
-    n, ones = len(words) - shingle + 1, np.zeros(64, np.int64)
-    for at in range(0, n, STEP):
-        part = words[at : at + STEP + shingle - 1]
-        hashes = b"".join([xxh64_digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(shingle))))])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+    n, ones, held, at = 0, np.zeros(64, np.int64), [], 0
+    while at < len(raw):
+        found = BLANK.search(raw, at + STEP)
+        end = found.start() if found else len(raw)
+        words = held + raw[at:end].split()  # bytes: at ASCII white space only
+        at = end
+        hashes = b"".join([xxh64_digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))])
+        if hashes:
+            n += len(hashes) // 8
+            ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        held = words[max(0, len(words) - shingle + 1) :]
+    if not n:
+        return int.from_bytes(xxh64_digest(b" ".join(held), seed), "big") if held else 0
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

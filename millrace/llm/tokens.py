@@ -20,9 +20,25 @@ ONE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+")
 #: Words, and letter runs, kept in a worker; beyond that it starts afresh, so its memory is bounded.
 KEPT_WORDS, KEPT_RUNS = 800_000, 800_000
 
+#: Characters of a text that are split at once; longer texts are cut where white space begins.
+PART = 1 << 20
+CUT = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]")
+
 Encode = Callable[[list[str]], list[bytes]]
 
 
+def parts_of(text: str) -> list[str]:
+    """``text`` in parts of some PART characters, each but the first beginning with white space after a word."""
+    out, at = [], 0
+    while at + PART < len(text):
+        found = CUT.search(text, at + PART)
+        if not found:
+            break
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 class Kept(dict):
     """text -> its ids as little-endian uint32 bytes, bounded in number; new texts are encoded together."""
 
@@ -84,6 +100,11 @@ def word_tokenizer(path: str) -> Encode:
     known = Kept(by_runs, KEPT_WORDS)
 
     def encode(texts: list[str]) -> list[bytes]:
+        if any(len(t) > PART for t in texts):
+            return [b"".join(plainly([p])[0] for p in parts_of(t)) if len(t) > PART else plainly([t])[0] for t in texts]
+        return plainly(texts)
+
+    def plainly(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known.learn(set().union(*split))
         return [b"".join(map(known.__getitem__, words)) for words in split]
@@ -109,6 +130,11 @@ def rank_tokenizer(path: str, pattern: str) -> Encode:
     known = Kept(lambda words: [one(w) for w in words], KEPT_RUNS)
 
     def encode(texts: list[str]) -> list[bytes]:
+        if any(len(t) > PART for t in texts):
+            return [one(t) if ODD.search(t) else b"".join(plainly([p])[0] for p in parts_of(t)) if len(t) > PART else plainly([t])[0] for t in texts]
+        return plainly(texts)
+
+    def plainly(texts: list[str]) -> list[bytes]:
         split = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
         known.learn(set().union(*[s for s in split if s]))
         return [one(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]

@@ -61,6 +61,12 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_of_sliced_texts(monkeypatch, texts):
+    some = [*list(texts.values())[:12], "a", "a b", " a  b c ", "", "A\tB c\x0bd"]
+    monkeypatch.setattr(simhash, "STEP", 7)
+    assert [simhash.fingerprint(t) for t in some] == [simhash_of(t) for t in some]
+
+
 def test_every_link_within_three_bits(spark):
     draw = random.Random(4)
     prints = {draw.getrandbits(64) for _ in range(60)}

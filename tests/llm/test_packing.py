@@ -38,6 +38,14 @@ def test_rank_ids_are_tiktokens(text):
     assert ids == plain.encode_ordinary(text) and plain.decode(ids) == text
 
 
+def test_ids_of_sliced_texts(monkeypatch, texts):
+    some = ["".join(f" {x}" for x in HARD), *list(texts.values())[:6]]
+    words, ranks = tokens.word_tokenizer(WORDS), tokens.rank_tokenizer(RANKS, public_tokenizers.PATTERN)
+    want = words(some), ranks(some)
+    monkeypatch.setattr(tokens, "PART", 9)
+    assert (words(some), ranks(some)) == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=20))
 def test_patterns_hold_the_histogram(histogram):
