@@ -151,7 +151,8 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, Ru
         first, many = places[new], np.diff(np.r_[new, len(places)])
         segment = np.searchsorted(tops, first, "right")
         shift = np.array(starts[i:j]) - (tops - lengths)
-        found.append((first + shift[segment], many, anchors[new] - first, grams[anchors[new]]))
+        # least hashes are small ones: mixed once more, they fill the buckets evenly
+        found.append((first + shift[segment], many, anchors[new] - first, mixed(grams[anchors[new]])))
         i = j
     at, many, offset, anchor = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (list(zip(*found)) or [[]] * 4)]
     at, many, offset, anchor = at.astype(np.int64), many.astype(np.int64), offset.astype(np.int64), anchor.astype(np.uint64)
