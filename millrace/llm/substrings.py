@@ -252,6 +252,23 @@ def unsqueezed(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def squeezed_hashes(a: np.ndarray) -> bytes:
+    """Sorted hashes, byte by byte: all first bytes, all second ones, and so on, of which the first are alike."""
+    return squeezed(a.astype(">u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unsqueezed_hashes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unsqueezed(raw, "u1").reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def content_hashes(content: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each row's first many + length - 1 bytes."""
+    size, out = many + length - 1, np.zeros(len(content), np.uint64)
+    for j in range(content.shape[1]):
+        out += np.where(j < size, content[:, j].astype(np.uint64) + U(1), U(0)) * U(pow(BASE2, j, 1 << 64))
+    return mixed(out ^ (many.astype(np.uint64) << U(40)))
+
+
 @dataclass
 class Group:
     """The documents of one group in order of doc_id (null last), and their runs."""
@@ -326,12 +343,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
         at = np.searchsorted(group.runs.anchor[order], group.anchors)
         several = (np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) if len(at) else np.zeros(0, bool)
         edges, g = bucket_edges(group.anchors, buckets), table.column("g")[0].as_py()
-        rows = [(b, g, group.anchors[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+        rows = [(b, g, squeezed_hashes(group.anchors[i:j]), np.packbits(several[i:j]).tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
         return blobs(["b", "g", "hashes", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
     def shared(table: pa.Table) -> pa.Table:
         """For each group of a bucket: which of its anchors another document has, and which are hot."""
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        parts = [unsqueezed_hashes(x) for x in table.column("hashes").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table.column("several").to_pylist(), parts)]
         values, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         several = np.zeros(len(values), bool)
@@ -363,17 +380,18 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
             content = padded[part.at[:, None] + np.arange(width)]
             content[np.arange(width) >= (part.many + length - 1)[:, None]] = 0
             r = said.get(b, {"bits": b"", "busy": b"", "n": None})
-            out.append((b, g, r["bits"], r["busy"], r["n"], part.anchor.tobytes(), part.whole.tobytes(), squeezed(group.keys[part.doc]), squeezed(part.many.astype(np.uint8)), squeezed(content)))
+            out.append((b, g, r["bits"], r["busy"], r["n"], squeezed_hashes(part.anchor), squeezed(group.keys[part.doc]), squeezed(part.many.astype(np.uint8)), squeezed(content)))
         return blobs(*context_schema, out)
 
     binary, long = pa.binary(), pa.int64()
-    context_schema = (["b", "g", "bits", "busy", "n", "anchor", "whole", "doc", "many", "content"], [long, long, binary, binary, long] + [binary] * 5)
+    context_schema = (["b", "g", "bits", "busy", "n", "anchor", "doc", "many", "content"], [long, long, binary, binary, long] + [binary] * 4)
 
     def factors(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        anchor = [np.frombuffer(r["anchor"], np.uint64) for r in rows]
+        anchor = [unsqueezed_hashes(r["anchor"]) for r in rows]
         parts = {k: np.concatenate([unsqueezed(r[k], kind) for r in rows]) for k, kind in (("doc", "<i8"), ("many", "u1"), ("content", "u1"))}
-        masks = earlier_windows(np.concatenate(anchor), np.concatenate([np.frombuffer(r["whole"], np.uint64) for r in rows]), parts["doc"], parts["many"].astype(np.int64), parts["content"].reshape(-1, width), length)
+        many, content = parts["many"].astype(np.int64), parts["content"].reshape(-1, width)
+        masks = earlier_windows(np.concatenate(anchor), content_hashes(content, many, length), parts["doc"], many, content, length)
         ends = np.cumsum([len(a) for a in anchor])
         out = [(r["g"], r["b"], r["bits"], r["busy"], r["n"], squeezed(masks[e - len(a) : e])) for r, a, e in zip(rows, anchor, ends)]
         return blobs(["g", "b", "bits", "busy", "n", "masks"], [long, long, binary, binary, long, binary], out)
@@ -411,7 +429,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
 
     sent = dealt.groupBy("g").applyInArrow(anchors, "b long, g long, hashes binary, several binary")
     replies = sent.groupBy("b").applyInArrow(shared, "g long, b long, bits binary, busy binary, n long")
-    kind = "b long, g long, bits binary, busy binary, n long, anchor binary, whole binary, doc binary, many binary, content binary"
+    kind = "b long, g long, bits binary, busy binary, n long, anchor binary, doc binary, many binary, content binary"
     around = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(contexts, kind)
     answers = around.groupBy("b").applyInArrow(factors, "g long, b long, bits binary, busy binary, n long, masks binary")
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * keep)
