@@ -114,6 +114,11 @@ def inverse_frequency(texts: int, seen: np.ndarray) -> np.ndarray:
     return np.log((1 + texts) / (1 + seen)).astype(np.float32) + np.float32(1)
 
 
+def draw(doc_id: Column) -> Column:
+    """A number in [0, 1) that depends on the id alone: the rows with the smallest are a sample."""
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the text null."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % by

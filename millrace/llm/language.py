@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import documents
-from millrace.llm.features import TEXTS, damped, fitting_pass, gram_counts, inverse_frequency, remainder
+from millrace.llm.features import TEXTS, damped, draw, fitting_pass, gram_counts, inverse_frequency, remainder
 
 DIMS, SIZES = 4096, (1, 2, 3)
 #: Labelled texts that centroids are fitted on: so many of each language, and so many in all, at most.
@@ -65,15 +65,19 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAM
     """A model from ``labelled`` (doc_id, text, lang not null); None if it is empty.
 
     Document frequencies cover all of its texts. Centroids are fitted on a sample whose bound
-    is a parameter: of each language the rows with the smallest hashes of doc_id.
+    is a parameter: of each language the rows with the smallest draws, which depend on doc_id alone.
     """
-    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter("doc_id is not null")
-    languages = known.select("lang").distinct().count()
+    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", draw(F.col("doc_id")).alias("draw")).filter("doc_id is not null")
+    # no more languages than texts in the sample
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    languages = sizes.count()
     if not languages:
         return None
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     most = max(1, min(per_language, sample // languages))
-    chosen = {r[0]: r[1] for r in known.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "lang").collect()}
+    # of a large language only a small share is looked at, so what one task ranks does not grow with the table
+    few = known.join(F.broadcast(sizes), "lang").filter(F.col("draw") * F.col("n") < 4 * most + 100)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = {r[0]: r[1] for r in few.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "lang").collect()}
     texts, seen, ids, found = fitting_pass(labelled, chosen, counts, DIMS)
     idf = inverse_frequency(texts, seen)
     x = damped(found, idf)
