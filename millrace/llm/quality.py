@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import documents
-from millrace.llm.features import TEXTS, damped, fitting_pass, gram_counts, inverse_frequency, remainder
+from millrace.llm.features import TEXTS, damped, draw, fitting_pass, gram_counts, inverse_frequency, remainder
 
 GRAMS, SIZES = 2048, (1, 2, 3)
 #: Measures that follow the n-grams in a row of counts.
@@ -85,11 +85,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     """A model from ``labels`` (doc_id, label 0 or 1) on ``docs`` (doc_id, text); None without labels.
 
     Document frequencies cover all texts. Those that vote are a sample of the labelled rows, whose bound is a
-    parameter: the smallest hashes of doc_id. Several labels of one document are averaged.
+    parameter: the smallest draws, which depend on doc_id alone. Several labels of one document are averaged.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).dropna()
     rows = rows.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    chosen = {r[0]: r[1] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    # only a small share of many labels is ranked, so what meets in one task does not grow with the table
+    few = rows.withColumn("draw", draw(F.col("doc_id"))).filter(F.col("draw") * F.lit(rows.count()) < 4 * sample + 100)
+    chosen = {r[0]: r[1] for r in few.orderBy("draw", "doc_id").limit(sample).collect()}
     if not chosen:
         return None
     texts, seen, ids, found = fitting_pass(docs, chosen, counts, DIMS)
