@@ -16,9 +16,11 @@ ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 #: Western letters, then ASCII marks without apostrophe: the tokenizer parts the two, and keeps each apart from neighbours.
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)")
 #: What the tokenizer surely takes as one run: its last id, and no other, is one that ends words.
-ONE = re.compile(r"[a-zß-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]+")
+ONE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+")
+#: A text, in lower case, that consists of such runs and white space alone.
+PURE = re.compile(r"[a-zß-öø-ÿ0-9 \t\n\r!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*")
 #: Words, and letter runs, kept in a worker; beyond that it starts afresh, so its memory is bounded.
-KEPT_WORDS, KEPT_RUNS = 800_000, 800_000
+KEPT_WORDS, KEPT_RUNS = 400_000, 1_200_000
 
 #: Characters of a text that are split at once; longer texts are cut where white space begins.
 PART = 1 << 20
@@ -105,9 +107,16 @@ def word_tokenizer(path: str) -> Encode:
         return plainly(texts)
 
     def plainly(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        lower = [t.lower() for t in texts]
+        pure = [ONE.findall(t) if PURE.fullmatch(t) else None for t in lower]
+        runs.learn(set().union(*[p for p in pure if p]))
+        out = [b"".join(map(runs.__getitem__, p)) if p is not None else None for p in pure]
+        rest = [i for i, p in enumerate(pure) if p is None]
+        split = [texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i in rest]
         known.learn(set().union(*split))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for i, words in zip(rest, split):
+            out[i] = b"".join(map(known.__getitem__, words))
+        return out
 
     return encode
 
