@@ -73,7 +73,7 @@ def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
             for line, n, signature, tops_ in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own, best = np.frombuffer(signature, "<u2"), (similar, 0, line)
+                own, best = np.frombuffer(signature, "<u2"), (similar, -np.inf, line)
                 for t in tops_:
                     if t["line"] == line:
                         # a seed joins an earlier seed that it is like, but no later one
