@@ -53,11 +53,26 @@ def line_rows(docs: DataFrame, depth: int = DEPTH, signatures: bool = True) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long" + ", signature binary" * signatures)
 
 
+def resolved(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """(leaf, tops) again, without the signatures of seeds that are like an earlier template: these are none themselves."""
+    for batch in batches:
+        tops = batch.column(1).to_pylist()
+        for found in tops:
+            roots: list[np.ndarray] = []
+            for t in found:
+                own = np.frombuffer(t["signature"], "<u2")
+                if any(float((r == own).mean()) >= similar for r in roots):
+                    t["signature"] = None
+                else:
+                    roots.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, batch.schema.field(1).type)], ["_leaf", "tops"])
+
+
 def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(line, template) for the lines whose template can recur in ``min_docs`` documents.
 
-    A leaf's templates are seeded by its most recurrent lines, ``seeds`` at most, and its other
-    lines join the likest seed that has at least ``similar`` of its tokens equal, place by place; a line
+    A leaf's templates are seeded by its most recurrent lines, ``seeds`` at most; a seed that is like an earlier
+    template joins that and collects no lines of its own. The other lines join the likest template that has at least ``similar`` of its tokens equal, place by place; a line
     that none is like is its own template. So no line is held against more than ``seeds`` others,
     however many lines a leaf has, and the outcome depends on no order.
     """
@@ -67,7 +82,8 @@ def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min
     busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("leaf").alias("_leaf"))
     lines = cut(lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf"), "left_semi"))
     first = lines.withColumn("nth", F.row_number().over(leaf.orderBy(F.desc("n"), "line"))).filter(F.col("nth") <= seeds)
-    tops = cut(first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "signature"))).alias("tops")).select(F.col("leaf").alias("_leaf"), "tops"))
+    tops = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "signature"))).alias("tops"))
+    tops = cut(tops.mapInArrow(lambda batches: resolved(batches, similar), "_leaf long, tops array<struct<nth:int,line:long,signature:binary>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,6 +94,8 @@ def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min
                     if t["line"] == line:
                         # a seed joins an earlier seed that it is like, but no later one
                         break
+                    if t["signature"] is None:
+                        continue
                     if (same := float((np.frombuffer(t["signature"], "<u2") == own).mean())) >= similar and (same, -t["nth"]) > best[:2]:
                         best = (same, -t["nth"], t["line"])
                 for column, value in zip(out, (line, n, best[2])):

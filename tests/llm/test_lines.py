@@ -10,3 +10,11 @@ def kept(spark, rows):
 def test_lines_of_exactly_the_share_join(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h x y"), (3, "a b c d e f g h v w"), (4, "p q r s t"), (5, "p q r s u"), (6, "p q r s v")]
     assert kept(spark, rows) == {1: rows[0][1], 2: "", 3: "", 4: rows[3][1], 5: "", 6: ""}
+
+
+def test_a_seed_that_has_joined_collects_no_lines(spark):
+    base = "the old sign says that {} and {} may come in here"
+    variants = [("red", "cat"), ("red", "dog"), ("tan", "dog")]
+    # the first variant leads, as it is held most often; the last differs from it in two tokens, from the second in one
+    rows = [(i + 1, base.format(*variants[v])) for i, v in enumerate((0, 0, 1, 2))]
+    assert kept(spark, rows) == {i: rows[0][1] if i == 1 else "" for i in range(1, 5)}
