@@ -14,6 +14,8 @@ from millrace.llm.common import cut, documents
 
 #: Leading tokens that lead to a leaf, share of equal tokens that joins a line to a template, seeds of a leaf.
 DEPTH, SIMILAR, SEEDS = 3, 0.8, 32
+#: Seeding goes on while a round leaves no more than this share of the lines it began with.
+FEWER = 0.7
 #: Documents in which a template recurs before it is dropped.
 MIN_DOCS = 3
 FIELD = "<*>"
@@ -68,42 +70,115 @@ def resolved(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, batch.schema.field(1).type)], ["_leaf", "tops"])
 
 
-def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line, template) for the lines whose template can recur in ``min_docs`` documents.
-
-    A leaf's templates are seeded by its most recurrent lines, ``seeds`` at most; a seed that is like an earlier
-    template joins that and collects no lines of its own. The other lines join the likest template that has at least ``similar`` of its tokens equal, place by place; a line
-    that none is like is its own template. So no line is held against more than ``seeds`` others,
-    however many lines a leaf has, and the outcome depends on no order.
-    """
-    # written out, as it is read twice and made by a pass over all texts
-    lines = cut(rows.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("signature").alias("signature")))
+def seeded(lines: DataFrame, similar: float, seeds: int) -> DataFrame:
+    """(leaf, line, n, signature, template) for each of ``lines``, by one round of seeds; template is null for a line that is no seed and like none."""
     leaf = Window.partitionBy("leaf")
-    busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("leaf").alias("_leaf"))
-    lines = cut(lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf"), "left_semi"))
     first = lines.withColumn("nth", F.row_number().over(leaf.orderBy(F.desc("n"), "line"))).filter(F.col("nth") <= seeds)
     tops = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "signature"))).alias("tops"))
     tops = cut(tops.mapInArrow(lambda batches: resolved(batches, similar), "_leaf long, tops array<struct<nth:int,line:long,signature:binary>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
-            for line, n, signature, tops_ in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own, best = np.frombuffer(signature, "<u2"), (similar, -np.inf, line)
+            out = []
+            for line, signature, tops_ in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4))):
+                own, best = np.frombuffer(signature, "<u2"), (similar, -np.inf, None)
                 for t in tops_:
                     if t["line"] == line:
                         # a seed joins an earlier seed that it is like, but no later one
+                        best = best if best[2] is not None else (1, 0, line)
                         break
                     if t["signature"] is None:
                         continue
                     if (same := float((np.frombuffer(t["signature"], "<u2") == own).mean())) >= similar and (same, -t["nth"]) > best[:2]:
                         best = (same, -t["nth"], t["line"])
-                for column, value in zip(out, (line, n, best[2])):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["line", "n", "template"])
+                out.append(best[2])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], ["leaf", "line", "n", "signature", "template"])
+
+    joined = lines.join(tops.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", "tops")
+    return cut(joined.mapInArrow(run, "leaf long, line long, n long, signature binary, template long"))
+
+
+def unseeded(lines: DataFrame, depth: int, similar: float) -> DataFrame:
+    """(line, n, template) for each of ``lines`` (leaf, line, n, signature), every two like lines of a leaf being found.
+
+    Of n tokens, at most ``n - ceil(similar n)`` differ between like lines, and the leading ones never do: with the others
+    in one block more than that, one block is the same. Lines are templates by turns, most recurrent first,
+    unless an earlier template is like them; the others join the likest such.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out: tuple[list, ...] = ([], [])
+            for leaf, line, signature in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+                size = len(signature) // 2
+                n = int(size - np.ceil(similar * size - 1e-9)) + 1
+                edges = [depth + (size - depth) * i // n for i in range(n + 1)] if size > depth else [0, 0]
+                for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                    out[0].append(xxh64_intdigest(b"%d %d " % (leaf, i) + signature[2 * a : 2 * b], 2))
+                    out[1].append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64())], ["block", "line"])
+
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [float((np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean()) if len(x) == len(y) else 0.0 for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.float64())], ["u", "v", "n", "same"])
+            yield whole.filter(pa.array([x >= similar for x in same], pa.bool_()))
+
+    keys = cut(lines.mapInArrow(blocks, "block long, line long").join(lines.select(F.col("line").alias("_line"), "n").hint("merge"), F.col("line") == F.col("_line")).select("block", "line", "n"))
+    a, b = keys.alias("a"), keys.alias("b")
+    earlier = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.line") < F.col("b.line")))
+    pairs = a.hint("merge").join(b, (F.col("a.block") == F.col("b.block")) & earlier).select(F.col("a.line").alias("u"), F.col("b.line").alias("v"), F.col("a.n").alias("n")).distinct()
+    for end, name in (("u", "x"), ("v", "y")):
+        pairs = pairs.join(lines.select(F.col("line").alias(f"_{end}"), F.col("signature").alias(name)).hint("merge"), F.col(end) == F.col(f"_{end}"))
+    links = cut(pairs.select("u", "v", "n", "x", "y").mapInArrow(like, "u long, v long, n long, same double"))
+    # a line is a template once no earlier line that may still be one is like it
+    open_, joined, roots = links, None, cut(lines.select("line").subtract(links.select("v")))
+    while True:
+        now = roots.select(F.col("line").alias("_root"))
+        hit = cut(links.join(now.hint("merge"), F.col("u") == F.col("_root")).select("u", "v", "n", "same"))
+        joined = hit if joined is None else joined.unionAll(hit)
+        done = hit.select(F.col("v").alias("_v")).distinct()
+        gone = cut(done.unionAll(now.select(F.col("_root").alias("_v"))))
+        waiting = open_.join(gone.hint("merge"), F.col("v") == F.col("_v"), "left_anti")
+        # those whose earlier lines have all joined others are the next templates
+        waiting = cut(waiting.withColumn("_u", F.col("u")))
+        live = cut(waiting.join(gone.hint("merge"), F.col("_u") == F.col("_v"), "left_anti").select("u", "v", "n", "same"))
+        roots = cut(waiting.select(F.col("v").alias("line")).distinct().subtract(live.select("v")))
+        open_ = live
+        if roots.isEmpty():
+            break
+    best = joined.groupBy("v").agg(F.max_by("u", F.struct("same", "n", -F.col("u"))).alias("template"))
+    return lines.join(best.hint("merge"), F.col("line") == F.col("v"), "left").select("line", "n", F.coalesce("template", "line").alias("template"))
+
+
+def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
+    """(line, template) for the lines whose template can recur in ``min_docs`` documents.
 
-    joined = lines.join(tops.hint("merge"), F.col("leaf") == F.col("_leaf")).select("line", "n", "signature", "tops")
-    placed = cut(joined.mapInArrow(run, "line long, n long, template long"))
+    A leaf's templates are seeded by its most recurrent lines, ``seeds`` at most; a seed that is like an earlier
+    template joins that and collects no lines of its own. The other lines join the likest template that has at least ``similar`` of its tokens equal, place by place; a line
+    that none is like is its own template. In leaves of more lines the ones that no template has taken are seeded again,
+    until a round takes few; those left then meet wherever a block of tokens agrees (``unseeded``).
+    The outcome depends on no order.
+    """
+    # written out, as it is read twice and made by a pass over all texts
+    lines = cut(rows.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("signature").alias("signature")))
+    busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("leaf").alias("_leaf"))
+    left = cut(lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf"), "left_semi"))
+    placed, n_left = None, None
+    while True:
+        found = seeded(left, similar, seeds)
+        taken = found.filter("template is not null").select("line", "n", "template")
+        placed = taken if placed is None else placed.unionAll(taken)
+        left = cut(found.filter("template is null").select("leaf", "line", "n", "signature"))
+        before, n_left = n_left, left.count()
+        if not n_left:
+            break
+        if before is not None and n_left > FEWER * before:
+            placed = placed.unionAll(unseeded(left, depth, similar))
+            break
+    placed = cut(placed)
     # written out, so that both sides of the join are plain shuffles, and a template of very many lines can be split
     often = cut(placed.groupBy("template").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("template").alias("_t")))
     return cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template"))
@@ -115,7 +190,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, see
     A template in at least ``min_docs`` different documents is dropped from all but the one with the smallest
     doc_id, so its content is kept once.
     """
-    names = templates(line_rows(docs, depth), similar, seeds, min_docs).select(F.col("line").alias("_line"), "template")
+    names = templates(line_rows(docs, depth), similar, seeds, min_docs, depth).select(F.col("line").alias("_line"), "template")
     seen = line_rows(docs, depth, signatures=False).select("doc_id", "line").filter("doc_id is not null")
     held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template"))
     over = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))

@@ -18,3 +18,14 @@ def test_a_seed_that_has_joined_collects_no_lines(spark):
     # the first variant leads, as it is held most often; the last differs from it in two tokens, from the second in one
     rows = [(i + 1, base.format(*variants[v])) for i, v in enumerate((0, 0, 1, 2))]
     assert kept(spark, rows) == {i: rows[0][1] if i == 1 else "" for i in range(1, 5)}
+
+
+def test_every_template_of_a_large_leaf_is_found(spark, monkeypatch):
+    # 60 templates in one leaf, each of four documents with another word; single lines in documents of their own besides
+    shape = "page of the " + " ".join("{0}" + c for c in "abcdefg") + " {1} {0}h"
+    rows = [(4 * t + i, shape.format(f"{'klmnop'[t % 6]}{'qrstuvwxyz'[t // 6]}", "vwxy"[i])) for t in range(60) for i in range(4)]
+    rows += [(1000 + i, shape.format("z" * (i + 2), "v")) for i in range(90)]
+    want = {i: x if i >= 1000 or i % 4 == 0 else "" for i, x in rows}
+    assert kept(spark, rows) == want
+    monkeypatch.setattr(lines, "FEWER", 0.0)
+    assert {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), seeds=1).collect()} == want
