@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents
+from millrace.llm.common import documents, slices
 from millrace.llm.tokens import rank_tokenizer
 
 WIDTH, PAD = 4096, 50256
@@ -112,8 +112,7 @@ def pack_matrices(docs: DataFrame, ranks_path: str, pattern: str, width: int = W
         encode = rank_tokenizer(ranks_path, pattern)
         base, held, total = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in slices(batch, 1, STEP):
                 for doc, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.frombuffer(raw, "<u4")
                     held += [(doc, s, ids[s : s + width]) for s in range(0, len(ids), width)]
@@ -122,6 +121,7 @@ def pack_matrices(docs: DataFrame, ranks_path: str, pattern: str, width: int = W
                     out, base = matrices(held, base)
                     yield out
                     held, total = [], 0
+        encode.forget()
         if held:
             yield matrices(held, base)[0]
 

@@ -1,10 +1,12 @@
-"""What several operators share: checkpoints, text measures, distributed running totals."""
+"""What several operators share: checkpoints, column names, slices of batches, distributed running totals."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +16,76 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session, as in tests, may do without: it gets a temporary folder."""
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if home:
+        return home
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary one is taken.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: its lineage ends here."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as Parquet to ``folder`` and read back, for loops.
+
+    A checkpoint keeps the planner's estimate of its size, which is a product over all joins that led to it: carried through a
+    loop, that number alone grows to millions of digits. Files have the size that they have.
+    """
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def col(name: str) -> Column:
+    """The column of just that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, lengthened until ``docs`` has no such column."""
+    had = {c.lower() for c in docs.columns}
+    while name.lower() in had:
+        name += "_"
+    return name
+
+
+def aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of these names renamed, and the columns that give all of ``docs`` back by its own names."""
+    given = {c: unused(f"_{c}", docs) if c.lower() in names else c for c in docs.columns}
+    return docs.select(*[col(c).alias(n) for c, n in given.items()]), [col(n).alias(c) for c, n in given.items()]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with plain names c0, c1 and so on: ``mapInArrow`` takes no names with dots."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def slices(batch: pa.RecordBatch, at_text: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and, unless a single text is longer, ``size`` bytes of text."""
+    begin, total = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_pylist()):
+        if i > begin and (i - begin >= rows or total + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BUCKETS, cut, documents, running_total
+from millrace.llm.common import BUCKETS, cut, documents, running_total, slices
 from millrace.llm.tokens import word_tokenizer
 
 WIDTH, EOS = 4096, 2
@@ -33,8 +33,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in slices(batch, 1, STEP):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
@@ -45,6 +44,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int =
                             column.append(value)
                 arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())] * keep_ids
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 

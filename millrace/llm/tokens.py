@@ -19,8 +19,10 @@ PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~
 ONE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+")
 #: A text, in lower case, that consists of such runs and white space alone.
 PURE = re.compile(r"[a-zß-öø-ÿ0-9 \t\n\r!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*")
-#: Words, and letter runs, kept in a worker; beyond that it starts afresh, so its memory is bounded.
-KEPT_WORDS, KEPT_RUNS = 400_000, 1_200_000
+#: Bytes that a task keeps of words, and of runs, with their ids, about; beyond that it starts afresh. Longer texts are never kept.
+KEPT_WORDS, KEPT_RUNS, LONGEST = 16 << 20, 40 << 20, 256
+#: Bytes of an entry beside the text and its ids: two objects' heads and a place in the table.
+HEAD = 190
 
 #: Characters of a text that are split at once; longer texts are cut where white space begins.
 PART = 1 << 20
@@ -42,29 +44,44 @@ def parts_of(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """text -> its ids as little-endian uint32 bytes, bounded in number; new texts are encoded together."""
+    """text -> its ids as little-endian uint32 bytes, bounded in bytes; new texts are encoded together.
+
+    All texts of the last ``learn`` are there until the next, long ones too.
+    """
 
     def __init__(self, encode: Encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.bytes, self.long = encode, most, 0, []
 
     def learn(self, texts: set[str]) -> None:
-        new = [t for t in texts if t not in self]
-        if len(self) + len(new) > self.most:
+        for t in self.long:
+            self.bytes -= HEAD + len(t) + len(self.pop(t, b""))
+        self.long = []
+        if self.bytes > self.most:
             self.clear()
-            new = list(texts)
+            self.bytes = 0
+        new = [t for t in texts if t not in self]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.update(zip(part, self.encode(part)))
+            found = self.encode(part)
+            self.update(zip(part, found))
+            self.long += [t for t in part if len(t) > LONGEST]
+            self.bytes += sum(map(len, part)) + sum(map(len, found)) + HEAD * len(part)
+
+    def forget(self) -> None:
+        """Gives its memory back, at the end of a task."""
+        self.clear()
+        self.bytes, self.long = 0, []
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> Encode:
     """Ids of whole texts by a ``tokenizers`` file that drops white space, without special tokens.
 
     Such a tokenizer never joins what ASCII white space parts, so a text's ids are those
     of its words one after the other; and it parts letters from marks, so
     "Word," has the ids of "word" and those of ",". Each of these is encoded once.
+    A worker keeps the tokenizer; ``forget()`` of what is returned drops the words kept.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -118,15 +135,17 @@ def word_tokenizer(path: str) -> Encode:
             out[i] = b"".join(map(known.__getitem__, words))
         return out
 
+    encode.forget = lambda: (runs.forget(), known.forget())
     return encode
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def rank_tokenizer(path: str, pattern: str) -> Encode:
     """Ids of whole texts by a ``tiktoken`` rank file; decoding them gives the text again.
 
     The pattern never matches across the end of a word, so chunks of white space and a
     word are encoded apart. Texts with rarer white space are encoded whole.
+    ``forget()`` of what is returned drops the chunks kept.
     """
     import base64
 
@@ -148,4 +167,5 @@ def rank_tokenizer(path: str, pattern: str) -> Encode:
         known.learn(set().union(*[s for s in split if s]))
         return [one(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
 
+    encode.forget = known.forget
     return encode
