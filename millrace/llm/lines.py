@@ -2,237 +2,280 @@
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import cut, documents
+from millrace.llm.common import col, cut, discard, documents, numbered, shared_folder, slices, stored, unused
+from millrace.llm.graph import components
 
-#: Leading tokens that lead to a leaf, share of equal tokens that joins a line to a template, seeds of a leaf.
-DEPTH, SIMILAR, SEEDS = 3, 0.8, 32
-#: Seeding goes on while a round leaves no more than this share of the lines it began with.
-FEWER = 0.7
-#: Documents in which a template recurs before it is dropped.
-MIN_DOCS = 3
+#: Leading tokens that lead to a leaf, and share of equal tokens, place by place, that makes two of its lines one template.
+DEPTH, SIMILAR = 3, 0.8
+#: Documents in which a template recurs before it is dropped; those that suffice for lines of LONG tokens or more.
+MIN_DOCS, LONG, MIN_LONG = 3, 50, 2
+#: Lines that are held against each other in one place; more are dealt out first.
+TOGETHER = 64
 FIELD = "<*>"
 DIGIT = re.compile(r"[0-9]")
+#: Tokens whose hashes a task keeps, and distinct lines whose signatures it has given; beyond that it starts afresh.
+KEPT, LONGEST, GIVEN = 200_000, 64, 200_000
 
 
-def parsed(line: str, depth: int = DEPTH) -> tuple[int, int, bytes]:
-    """A line's leaf, its hash with variable fields generalised, and two bytes for each token.
+class Marks(dict):
+    """token -> eight bytes of hash; all tokens with a digit are one variable field. Bounded."""
+
+    def __missing__(self, token: str) -> bytes:
+        from xxhash import xxh64_digest
+
+        found = xxh64_digest((FIELD if DIGIT.search(token) else token).encode("utf-8", "surrogatepass"), 2)
+        if len(token) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[token] = found
+        return found
+
+
+def marks_of(line: str, marks: Marks) -> bytes:
+    return b"".join(map(marks.__getitem__, line.split()))
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
-    Tokens with a digit are variable fields. The leaf is the token count and the first ``depth`` tokens.
-    """
-    from xxhash import xxh32_digest, xxh64_intdigest
 
-    tokens = line.split()
-    if DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
-    leaf = xxh64_intdigest("\n".join([str(len(tokens)), *tokens[:depth]]).encode("utf-8", "surrogatepass"))
-    whole = "\n".join(tokens).encode("utf-8", "surrogatepass")
-    return leaf, xxh64_intdigest(whole, 1), b"".join([xxh32_digest(t)[:2] for t in whole.split(b"\n")])
+def line_key(raw: bytes) -> int:
+    """What tells generalised lines apart: a hash of the hashes of their tokens."""
+    from xxhash import xxh64_intdigest
 
+    return signed(xxh64_intdigest(raw, 1))
 
-def line_rows(docs: DataFrame, depth: int = DEPTH, signatures: bool = True) -> DataFrame:
-    """(doc_id, leaf, line, signature) once for each different generalised line of each row; blank lines have none."""
-    names = ["doc_id", "leaf", "line"] + ["signature"] * signatures
+
+def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, leaf, line, signature): a row for each different generalised line of each row, without signature; blank lines have none.
+
+    A leaf is the token count and the first ``depth`` tokens. Once a task, or little more often, each line gives a further
+    row that has its signature, two bytes a token, and counts for no document.
+    """
+    names = ["doc_id", "leaf", "line", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        marks, given = Marks(), set()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {p[1]: p for p in (parsed(line, depth) for line in set((text or "").split("\n")) if line and not line.isspace())}
-                for leaf, line, signature in found.values():
-                    for column, value in zip(out, (doc, leaf, line, signature)):
-                        column.append(value)
-            longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[1:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *longs] + [pa.array(out[3], pa.binary())] * signatures, names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long" + ", signature binary" * signatures)
-
-
-def resolved(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """(leaf, tops) again, without the signatures of seeds that are like an earlier template: these are none themselves."""
-    for batch in batches:
-        tops = batch.column(1).to_pylist()
-        for found in tops:
-            roots: list[np.ndarray] = []
-            for t in found:
-                own = np.frombuffer(t["signature"], "<u2")
-                if any(float((r == own).mean()) >= similar for r in roots):
-                    t["signature"] = None
-                else:
-                    roots.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, batch.schema.field(1).type)], ["_leaf", "tops"])
-
-
-def seeded(lines: DataFrame, similar: float, seeds: int) -> DataFrame:
-    """(leaf, line, n, signature, template) for each of ``lines``, by one round of seeds; template is null for a line that is no seed and like none."""
-    leaf = Window.partitionBy("leaf")
-    first = lines.withColumn("nth", F.row_number().over(leaf.orderBy(F.desc("n"), "line"))).filter(F.col("nth") <= seeds)
-    tops = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "signature"))).alias("tops"))
-    tops = cut(tops.mapInArrow(lambda batches: resolved(batches, similar), "_leaf long, tops array<struct<nth:int,line:long,signature:binary>>"))
+            for part in slices(batch, 1):
+                out: tuple[list, ...] = ([], [], [], [])
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if not text:
+                        continue
+                    found = {}
+                    for line in set(text.split("\n")):
+                        if raw := marks_of(line, marks):
+                            found[line_key(raw)] = raw
+                    for key, raw in found.items():
+                        leaf = signed(xxh64_intdigest(raw[: 8 * depth], len(raw)))
+                        out[0].append(doc), out[1].append(leaf), out[2].append(key), out[3].append(None)
+                        if key not in given:
+                            if len(given) >= GIVEN:
+                                given.clear()
+                            given.add(key)
+                            out[0].append(None), out[1].append(leaf), out[2].append(key), out[3].append(np.frombuffer(raw, "<u2")[::4].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long, signature binary")
+
+
+def allowed(size: int, similar: float) -> int:
+    """Tokens of ``size`` in which like lines may differ."""
+    return size - math.ceil(similar * size - 1e-9)
+
+
+def met(lines: list[dict], similar: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join what all like pairs of a few lines (line, signature) of one leaf join; a is the lesser."""
+    rows = sorted(lines, key=lambda r: r["line"])
+    size = len(rows[0]["signature"])
+    found = np.array([np.frombuffer(r["signature"], "<u2") if len(r["signature"]) == size else np.zeros(size // 2, np.uint16) for r in rows])
+    root, least = list(range(len(rows))), size // 2 - allowed(size // 2, similar)
+    for i in range(len(rows) - 1):
+        for j in (np.flatnonzero((found[i + 1 :] == found[i]).sum(1) >= least) + i + 1).tolist():
+            a, b = i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    return [(rows[root[i]]["line"], r["line"]) for i, r in enumerate(rows) if root[i] != i]
+
+
+def links_of_few(few: DataFrame, similar: float) -> DataFrame:
+    """(a, b) for groups (key, line, signature) of at most TOGETHER lines each, one row of lists a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for line, signature, tops_ in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4))):
-                own, best = np.frombuffer(signature, "<u2"), (similar, -np.inf, None)
-                for t in tops_:
-                    if t["line"] == line:
-                        # a seed joins an earlier seed that it is like, but no later one
-                        best = best if best[2] is not None else (1, 0, line)
-                        break
-                    if t["signature"] is None:
-                        continue
-                    if (same := float((np.frombuffer(t["signature"], "<u2") == own).mean())) >= similar and (same, -t["nth"]) > best[:2]:
-                        best = (same, -t["nth"], t["line"])
-                out.append(best[2])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], ["leaf", "line", "n", "signature", "template"])
+            found = [pair for group in batch.column(0) for pair in met(group.as_py(), similar)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    joined = lines.join(tops.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", "tops")
-    return cut(joined.mapInArrow(run, "leaf long, line long, n long, signature binary, template long"))
+    return few.groupBy("key").agg(F.collect_list(F.struct("line", "signature")).alias("lines")).select("lines").mapInArrow(run, "a long, b long")
 
 
-def unseeded(lines: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(line, n, template) for each of ``lines`` (leaf, line, n, signature), every two like lines of a leaf being found.
+def against_head(many: DataFrame, similar: float) -> DataFrame:
+    """(key, line, signature, head, like, places) of larger groups: whether a line is like the group's head, and where it differs."""
+    heads = cut(many.groupBy("key").agg(F.min(F.struct("line", "signature")).alias("head")).select(F.col("key").alias("_key"), F.col("head.line").alias("head"), F.col("head.signature").alias("_top")))
 
-    Of n tokens, at most ``n - ceil(similar n)`` differ between like lines, and the leading ones never do: with the others
-    in one block more than that, one block is the same. Lines are templates by turns, most recurrent first,
-    unless an earlier template is like them; the others join the likest such.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like, places = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                at = np.flatnonzero(np.frombuffer(x, "<u2") != np.frombuffer(y, "<u2")) if len(x) == len(y) else np.arange(len(x) // 2)
+                places.append(at.tolist())
+                like.append(len(x) == len(y) and len(at) <= allowed(len(x) // 2, similar))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["key", "line", "signature", "head", "like", "places"])
+
+    held = many.join(heads.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "signature", "head", "_top")
+    return held.mapInArrow(run, "key long, line long, signature binary, head long, like boolean, places array<int>")
+
+
+def dealt(open_: DataFrame, similar: float) -> DataFrame:
+    """Groups (key, line, signature, varying) dealt out to smaller ones (key, line, signature), in which all like lines still meet.
+
+    ``varying`` are the places where lines of the group differ at all. Like lines differ in at most m of them, so of
+    m + 1 blocks of those places one is equal; each block and its content is a new group. If there are
+    no more than m such places, all lines are like their head, and nothing is left to find.
     """
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            out: tuple[list, ...] = ([], [])
-            for leaf, line, signature in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
-                size = len(signature) // 2
-                n = int(size - np.ceil(similar * size - 1e-9)) + 1
-                edges = [depth + (size - depth) * i // n for i in range(n + 1)] if size > depth else [0, 0]
-                for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                    out[0].append(xxh64_intdigest(b"%d %d " % (leaf, i) + signature[2 * a : 2 * b], 2))
-                    out[1].append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64())], ["block", "line"])
-
-    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [float((np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean()) if len(x) == len(y) else 0.0 for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            whole = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.float64())], ["u", "v", "n", "same"])
-            yield whole.filter(pa.array([x >= similar for x in same], pa.bool_()))
-
-    keys = cut(lines.mapInArrow(blocks, "block long, line long").join(lines.select(F.col("line").alias("_line"), "n").hint("merge"), F.col("line") == F.col("_line")).select("block", "line", "n"))
-    a, b = keys.alias("a"), keys.alias("b")
-    earlier = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.line") < F.col("b.line")))
-    pairs = a.hint("merge").join(b, (F.col("a.block") == F.col("b.block")) & earlier).select(F.col("a.line").alias("u"), F.col("b.line").alias("v"), F.col("a.n").alias("n")).distinct()
-    for end, name in (("u", "x"), ("v", "y")):
-        pairs = pairs.join(lines.select(F.col("line").alias(f"_{end}"), F.col("signature").alias(name)).hint("merge"), F.col(end) == F.col(f"_{end}"))
-    links = cut(pairs.select("u", "v", "n", "x", "y").mapInArrow(like, "u long, v long, n long, same double"))
-    # a line is a template once no earlier line that may still be one is like it
-    open_, joined, roots = links, None, cut(lines.select("line").subtract(links.select("v")))
-    while True:
-        now = roots.select(F.col("line").alias("_root"))
-        hit = cut(links.join(now.hint("merge"), F.col("u") == F.col("_root")).select("u", "v", "n", "same"))
-        joined = hit if joined is None else joined.unionAll(hit)
-        done = hit.select(F.col("v").alias("_v")).distinct()
-        gone = cut(done.unionAll(now.select(F.col("_root").alias("_v"))))
-        waiting = open_.join(gone.hint("merge"), F.col("v") == F.col("_v"), "left_anti")
-        # those whose earlier lines have all joined others are the next templates
-        waiting = cut(waiting.withColumn("_u", F.col("u")))
-        live = cut(waiting.join(gone.hint("merge"), F.col("_u") == F.col("_v"), "left_anti").select("u", "v", "n", "same"))
-        roots = cut(waiting.select(F.col("v").alias("line")).distinct().subtract(live.select("v")))
-        open_ = live
-        if roots.isEmpty():
-            break
-    best = joined.groupBy("v").agg(F.max_by("u", F.struct("same", "n", -F.col("u"))).alias("template"))
-    return lines.join(best.hint("merge"), F.col("line") == F.col("v"), "left").select("line", "n", F.coalesce("template", "line").alias("template"))
-
-
-def templates(rows: DataFrame, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """(line, template) for the lines whose template can recur in ``min_docs`` documents.
-
-    A leaf's templates are seeded by its most recurrent lines, ``seeds`` at most; a seed that is like an earlier
-    template joins that and collects no lines of its own. The other lines join the likest template that has at least ``similar`` of its tokens equal, place by place; a line
-    that none is like is its own template. In leaves of more lines the ones that no template has taken are seeded again,
-    until a round takes few; those left then meet wherever a block of tokens agrees (``unseeded``).
-    The outcome depends on no order.
+            for i in range(batch.num_rows):
+                key, line, signature, varying = (c[i].as_py() for c in batch.columns)
+                blocks = allowed(len(signature) // 2, similar) + 1
+                places, own = np.array(sorted(varying), np.int64), np.frombuffer(signature, "<u2")
+                if len(places) >= blocks:
+                    parts = [xxh64_intdigest(own[p].tobytes() + b"%d %d" % (key, n), 3) for n, p in enumerate(np.array_split(places, blocks))]
+                    yield pa.RecordBatch.from_arrays([pa.array([signed(p) for p in parts], pa.int64()), pa.array([line] * blocks, pa.int64()), pa.array([signature] * blocks, pa.binary())], ["key", "line", "signature"])
+
+    return open_.mapInArrow(run, "key long, line long, signature binary")
+
+
+def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER) -> DataFrame:
+    """(a, b) that join what all like pairs of ``lines`` (leaf, line, signature) of one leaf join.
+
+    Small groups are held pair by pair. In a larger group every line is held against the head; if that leaves
+    several components, its lines are dealt out by blocks of the places where they differ, and the new groups taken
+    likewise, until none is left. No pair is lost however large a leaf is, and no group's pairs are laid out.
     """
-    # written out, as it is read twice and made by a pass over all texts
-    lines = cut(rows.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("signature").alias("signature")))
-    busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("leaf").alias("_leaf"))
-    left = cut(lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf"), "left_semi"))
-    placed, n_left = None, None
+    home = f"{shared_folder(lines.sparkSession)}/links-{uuid.uuid4().hex}"
+    now, out, turn = lines.select(F.col("leaf").alias("key"), "line", "signature"), None, 0
     while True:
-        found = seeded(left, similar, seeds)
-        taken = found.filter("template is not null").select("line", "n", "template")
-        placed = taken if placed is None else placed.unionAll(taken)
-        left = cut(found.filter("template is null").select("leaf", "line", "n", "signature"))
-        before, n_left = n_left, left.count()
-        if not n_left:
-            break
-        if before is not None and n_left > FEWER * before:
-            placed = placed.unionAll(unseeded(left, depth, similar))
-            break
+        now, turn = stored(now, f"{home}/{turn}"), turn + 1
+        sizes = cut(now.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_key"), "_n"))
+        sized = now.join(sizes.hint("merge"), F.col("key") == F.col("_key")).drop("_key")
+        found = cut(links_of_few(sized.filter(F.col("_n") <= together).drop("_n"), similar))
+        out = found if out is None else out.unionAll(found)
+        if sizes.filter(F.col("_n") > together).isEmpty():
+            discard(lines.sparkSession, home)
+            return out
+        held = cut(against_head(sized.filter(F.col("_n") > together).drop("_n"), similar))
+        discard(lines.sparkSession, home)
+        out = out.unionAll(held.filter("like and line != head").select(F.least("head", "line").alias("a"), F.greatest("head", "line").alias("b")))
+        roots = cut(components(out))
+        placed = held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "line"))
+        several = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
+        places = held.select("key", F.explode("places").alias("place")).distinct().groupBy("key").agg(F.collect_list("place").alias("varying"))
+        wide = cut(several.select(F.col("key").alias("_key")).join(places.hint("merge"), F.col("_key") == F.col("key")).select("_key", "varying"))
+        now = dealt(held.join(wide.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "signature", "varying"), similar)
+
+
+def needed(signature: Column, min_docs: int, long: int, min_long: int) -> Column:
+    """Documents in which a line must recur."""
+    return F.when(F.octet_length(signature) >= 2 * long, min_long).otherwise(min_docs)
+
+
+def templates(rows: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
+    """(line, template, need) for the lines of ``rows`` whose template can recur in as many documents as it must.
+
+    Two lines of a leaf are alike if at least ``similar`` of their tokens are equal, place by place. Lines that like
+    ones join are one template: what varies between them is generalised. Its name is that of its least line.
+    The outcome depends on no order. Signatures hold 16 bits of each token's hash, so that two
+    tokens that differ count as equal with odds of 1 in 65,536.
+    """
+    # the binary first() aggregates by sorting; it sees a line's signature once a task
+    lines = cut(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature")))
+    need = needed(F.col("signature"), min_docs, long, min_long)
+    busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n"), F.count("*").alias("_lines"), F.min(need).alias("_need")).filter("_n >= _need")
+    busy = cut(busy.select(F.col("leaf").alias("_leaf"), "_lines"))
+    left = lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", need.alias("need"), "_lines")
+    left = cut(left)
+    roots = cut(components(links(left.filter("_lines > 1"), similar, together)))
+    placed = left.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("line", "n", "need", F.coalesce("root", "line").alias("template"))
     placed = cut(placed)
     # written out, so that both sides of the join are plain shuffles, and a template of very many lines can be split
-    often = cut(placed.groupBy("template").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_docs).select(F.col("template").alias("_t")))
-    return cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template"))
+    often = cut(placed.groupBy("template").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need").select(F.col("template").alias("_t")))
+    return cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template", "need"))
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
     """(doc_id, lines): the generalised lines to drop from each document.
 
-    A template in at least ``min_docs`` different documents is dropped from all but the one with the smallest
-    doc_id, so its content is kept once.
+    A template in at least ``min_docs`` different documents, or ``min_long`` if its lines have ``long`` tokens, is dropped
+    from all but the one with the smallest doc_id, so its content is kept once.
     """
-    names = templates(line_rows(docs, depth), similar, seeds, min_docs, depth).select(F.col("line").alias("_line"), "template")
-    seen = line_rows(docs, depth, signatures=False).select("doc_id", "line").filter("doc_id is not null")
-    held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template"))
-    over = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
-    over = cut(over.filter(F.col("_n") >= min_docs).select(F.col("template").alias("_t"), "_first"))
+    rows = cut(line_rows(docs, depth))
+    names = templates(rows, similar, min_docs, long, min_long, together).select(F.col("line").alias("_line"), "template", "need")
+    seen = rows.filter("signature is null and doc_id is not null").select("doc_id", "line")
+    held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template", "need"))
+    over = held.select("template", "need", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"), F.min("need").alias("_need"))
+    over = cut(over.filter("_n >= _need").select(F.col("template").alias("_t"), "_first"))
     gone = held.join(over.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("doc_id") != F.col("_first")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, seeds: int = SEEDS, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
     """``docs`` (doc_id, text, ...) without lines of recurring templates, and n_lines and n_dropped.
 
     Texts are parted at line feeds; a text that loses nothing stays as it is, byte for byte. Blank lines
     are never dropped. Null texts stay null (no lines); rows with the same doc_id are one document and
-    lose the same lines; rows with a null doc_id lose none; other columns come along, but
-    n_lines and n_dropped are replaced. An empty table gives no rows.
+    lose the same lines; rows with a null doc_id lose none; a text of any length is parsed line by line. Other columns come along under
+    any name, but n_lines and n_dropped are replaced. An empty table gives no rows.
     """
     plain = docs.drop("n_lines", "n_dropped")
-    kept, schema = plain.columns, plain.schema
-    gone = recurring(docs, depth, similar, seeds, min_docs).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
-    at_text = kept.index("text")
+    kept, doc, gone_lines = plain.columns, unused("_doc", plain), unused("_lines", plain)
+    gone = recurring(plain, depth, similar, min_docs, long, min_long, together).select(F.col("doc_id").alias(doc), F.col("lines").alias(gone_lines))
+    at_text, names = kept.index("text"), [*(f"c{i}" for i in range(len(kept))), "n_lines", "n_dropped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
         for batch in batches:
-            texts, total, lost = batch.column(at_text).to_pylist(), [], []
-            for i, (text, lines) in enumerate(zip(texts, batch.column(len(kept)).to_pylist())):
-                parts = [] if text is None else text.split("\n")
-                total.append(len(parts))
-                lost.append(0)
-                if lines:
-                    off = set(lines)
-                    left = [p for p in parts if not p or p.isspace() or np.uint64(parsed(p, depth)[1]).astype(np.int64) not in off]
-                    lost[-1] = len(parts) - len(left)
-                    texts[i] = "\n".join(left)
-            columns = list(batch.columns[: len(kept)])
-            columns[at_text] = pa.array(texts, columns[at_text].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*kept, "n_lines", "n_dropped"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    joined = plain.join(gone.hint("merge"), F.col("doc_id") == F.col("__doc"), "left").select(*kept, "__lines")
-    return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+            for part in slices(batch, at_text):
+                texts, total, lost = part.column(at_text).to_pylist(), [], []
+                for i, (text, lines) in enumerate(zip(texts, part.column(len(kept)).to_pylist())):
+                    total.append(0 if text is None else text.count("\n") + 1)
+                    lost.append(0)
+                    if lines and text:
+                        off = set(lines)
+                        parts = text.split("\n")
+                        left = [p for p in parts if not (raw := marks_of(p, marks)) or line_key(raw) not in off]
+                        lost[-1] = len(parts) - len(left)
+                        texts[i] = "\n".join(left)
+                columns = list(part.columns[: len(kept)])
+                columns[at_text] = pa.array(texts, columns[at_text].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names)
+
+    joined = plain.join(gone.hint("merge"), F.col("doc_id") == F.col(doc), "left").select(*map(col, kept), gone_lines)
+    safe = numbered(joined)
+    fields = [*safe.schema.fields[: len(kept)], StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
+    return safe.mapInArrow(run, StructType(fields)).toDF(*kept, "n_lines", "n_dropped")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole document's lines, how many of them belong to recurring templates and go, and the digest of what is left."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -199,32 +199,36 @@ def test_substrings_of_odd_rows(spark, odd, none):
 
 
 def templates_of(rows, min_docs=3):
-    """Lines kept of (doc_id, text) rows, by a tree held in one place."""
+    """Lines kept of (doc_id, text) rows, by holding each line of a leaf against every other."""
     tokens = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.split())
     solid = lambda line: bool(line) and not line.isspace()
-    n, leaves, template = Counter(), defaultdict(list), {}
-    for _, text in rows:
-        n.update({tokens(x) for x in (text or "").split("\n") if solid(x)})
-    key = lambda t: (-n[t], int(np.uint64(xxhash.xxh64_intdigest("\n".join(t).encode(), 1)).astype(np.int64)))
-    for t in n:
+    leaves, root = defaultdict(list), {}
+    for t in {tokens(x) for _, text in rows for x in (text or "").split("\n") if solid(x)}:
         leaves[len(t), t[:3]].append(t)
+        root[t] = t
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
     for found in leaves.values():
-        found.sort(key=key)
-        for t in found:
-            best = None
-            for i, s in enumerate(found[:32]):
-                if s == t:
-                    break
-                same = sum(a == b for a, b in zip(s, t)) / len(t)
-                if same >= 0.8 and (best is None or (same, -i) > best[:2]):
-                    best = (same, -i, s)
-            template[t] = best[2] if best else t
+        for i, t in enumerate(found):
+            for s in found[:i]:
+                if 10 * sum(a == b for a, b in zip(s, t)) >= 8 * len(t):
+                    root[find(t)] = find(s)
     seen = defaultdict(set)
     for doc, text in rows:
         for x in (text or "").split("\n"):
             if solid(x) and doc is not None:
-                seen[template[tokens(x)]].add(doc)
-    drop = lambda doc, x: solid(x) and doc is not None and len(seen[template[tokens(x)]]) >= min_docs and min(seen[template[tokens(x)]]) != doc
+                seen[find(tokens(x))].add(doc)
+
+    def drop(doc, x):
+        if not solid(x) or doc is None:
+            return False
+        docs = seen[find(tokens(x))]
+        return len(docs) >= (2 if len(x.split()) >= 50 else min_docs) and min(docs) != doc
+
     return sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if not drop(d, x))) for d, t in rows), key=repr)
 
 

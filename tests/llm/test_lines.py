@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from millrace.llm import lines
+from test_duplicates import templates_of
 
 
-def kept(spark, rows):
-    return {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def kept(spark, rows, **options):
+    return {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
 
 
 def test_lines_of_exactly_the_share_join(spark):
@@ -20,12 +25,29 @@ def test_a_seed_that_has_joined_collects_no_lines(spark):
     assert kept(spark, rows) == {i: rows[0][1] if i == 1 else "" for i in range(1, 5)}
 
 
-def test_every_template_of_a_large_leaf_is_found(spark, monkeypatch):
+@pytest.mark.parametrize("together", [lines.TOGETHER, 3])
+def test_every_template_of_a_large_leaf_is_found(spark, together):
     # 60 templates in one leaf, each of four documents with another word; single lines in documents of their own besides
     shape = "page of the " + " ".join("{0}" + c for c in "abcdefg") + " {1} {0}h"
     rows = [(4 * t + i, shape.format(f"{'klmnop'[t % 6]}{'qrstuvwxyz'[t // 6]}", "vwxy"[i])) for t in range(60) for i in range(4)]
     rows += [(1000 + i, shape.format("z" * (i + 2), "v")) for i in range(90)]
     want = {i: x if i >= 1000 or i % 4 == 0 else "" for i, x in rows}
-    assert kept(spark, rows) == want
-    monkeypatch.setattr(lines, "FEWER", 0.0)
-    assert {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), seeds=1).collect()} == want
+    assert kept(spark, rows, together=together) == want == dict(templates_of(rows))
+
+
+def test_leaf_of_many_random_variants_matches_brute_force(spark):
+    # what varies is partly the same all over, partly anything; groups are dealt out several times over
+    draw = random.Random(8)
+    rows = [(i, "in the end " + " ".join(draw.choice("ab" if p % 3 else "aabc") * 2 for p in range(17)) + " word word word word") for i in range(220)]
+    want = dict(templates_of(rows))
+    assert kept(spark, rows, together=4) == want
+    assert 2 < sum(not x for x in want.values()) < 218
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long, short = " ".join(["word"] * 30 + ["other"] * 20), " ".join(["word"] * 30 + ["other"] * 19)
+    rows = [(1, f"{long}\n{short}"), (2, f"{short}\n{long}")]
+    assert kept(spark, rows) == {1: rows[0][1], 2: short}
+    # rows of one doc_id are one document, in which nothing recurs
+    same = spark.createDataFrame([(2, long), (2, f"x\n{long}")], "doc_id long, text string")
+    assert sorted(r["n_dropped"] for r in lines.drop_recurring(same).collect()) == [0, 0]
