@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, slices
 
 #: Bytes whose n-grams are counted at once, and texts in one block of vectors.
 STEP, TEXTS = 1 << 20, 256
@@ -72,21 +72,25 @@ def fitting_pass(docs: DataFrame, chosen: dict[int, object], counts: Counts, dim
     """One pass over all of ``docs`` (doc_id, text): number of texts, document frequencies, and the counts of the ``chosen`` ids.
 
     Frequencies are summed in each task and then over tasks, so that what moves is a
-    row a task; chosen rows, whose number the caller bounds, come to the driver, sparse.
+    row a task; chosen rows, whose number the caller bounds, come to the driver, sparse. Of rows that
+    have a chosen id alike one counts, that with the least vector: a task gives each id once, and of the tasks' rows
+    one is taken before they come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(dims, np.int64), 0
+        seen, texts, best = np.zeros(dims, np.int64), 0, {}
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in slices(batch, 1, TEXTS):
                 found = counts([t or "" for t in part.column(1).to_pylist()])
                 seen += (found > 0).sum(0)
                 texts += len(found)
                 for doc, row in zip(part.column(0).to_pylist(), found):
                     if doc in chosen:
                         places = np.flatnonzero(row)
-                        yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([None], pa.int64()), pa.array([places.astype("<u2").tobytes()]), pa.array([row[places].astype("<f4").tobytes()])], ["doc_id", "texts", "places", "values"])
+                        own = (places.astype("<u2").tobytes(), row[places].astype("<f4").tobytes())
+                        best[doc] = min(own, best.get(doc, own))
+        for doc, (places, values) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([None], pa.int64()), pa.array([places]), pa.array([values])], ["doc_id", "texts", "places", "values"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([texts]), pa.array([b""]), pa.array([seen.astype("<i8").tobytes()])], ["doc_id", "texts", "places", "values"])
 
     kind = "doc_id long, texts long, places binary, values binary"
@@ -103,7 +107,8 @@ def fitting_pass(docs: DataFrame, chosen: dict[int, object], counts: Counts, dim
     # as in a tree: some tasks' sums, then those of the few that are left
     sums = gathered.filter("texts is not null").coalesce(64).mapInArrow(added, kind).collect()
     seen = sum((np.frombuffer(r["values"], "<i8") for r in sums), np.zeros(dims, np.int64))
-    rows = sorted(gathered.filter("doc_id is not null").collect(), key=lambda r: (r["doc_id"], r["places"], r["values"]))
+    once = gathered.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("places", "values")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(once.collect())
     ids, matrix = [r["doc_id"] for r in rows], np.zeros((len(rows), dims), np.float32)
     for i, r in enumerate(rows):
         matrix[i, np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["values"], "<f4")

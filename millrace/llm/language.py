@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import documents
+from millrace.llm.common import col, documents, numbered, slices, unused
 from millrace.llm.features import TEXTS, damped, draw, fitting_pass, gram_counts, inverse_frequency, remainder
 
 DIMS, SIZES = 4096, (1, 2, 3)
@@ -77,7 +78,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAM
     # of a large language only a small share is looked at, so what one task ranks does not grow with the table
     few = known.join(F.broadcast(sizes), "lang").filter(F.col("draw") * F.col("n") < 4 * most + 100)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    chosen = {r[0]: r[1] for r in few.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "lang").collect()}
+    ranked = few.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "lang").collect()
+    chosen = dict(sorted(map(tuple, ranked), reverse=True))  # an id with several languages has the first of them
     texts, seen, ids, found = fitting_pass(labelled, chosen, counts, DIMS)
     idf = inverse_frequency(texts, seen)
     x = damped(found, idf)
@@ -100,39 +102,39 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     model. A text whose nearest centroid is farther than its language accepts
     keeps its language and is rejected.
     """
-    kept = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at_text = kept.index("text")
+    kept, at_text = docs.columns, docs.columns.index("text")
+    plain = numbered(docs)
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
+    names = [*plain.columns, *(f.name for f in more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in slices(batch, at_text, TEXTS):
                 sims = damped(counts([t or "" for t in part.column(at_text).to_pylist()]), model.idf) @ model.centroids.T
                 best = sims.argmax(1)
                 score = np.clip(sims[np.arange(len(best)), best], 0, 1)
-                more = [pa.array([model.languages[b] for b in best], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < model.floors[best])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*kept, "lang_pred", "score", "rejected"])
+                found = [pa.array([model.languages[b] for b in best], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < model.floors[best])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names)
 
     if model is None:
-        out = docs.withColumn("lang_pred", F.lit(None).cast("string")).withColumn("score", F.lit(0.0)).withColumn("rejected", F.lit(True))
-    else:
-        out = docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
-    return out
+        return docs.withColumn("lang_pred", F.lit(None).cast("string")).withColumn("score", F.lit(0.0)).withColumn("rejected", F.lit(True))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *more])).toDF(*kept, *(f.name for f in more))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; letters are looked for in the JVM, before any text goes to Python.
 
-    Any columns come along, but ``lang_pred``, ``score`` and ``rejected`` are replaced.
+    Whole texts count, however long, a slice at a time. A text equally near two centroids has the language that comes first. Other columns
+    come along under any name, but ``lang_pred``, ``score`` and ``rejected`` are replaced.
     Repeated rows are kept; an empty table gives no rows.
     """
     plain = docs.drop("lang_pred", "score", "rejected")
+    blank = unused("_none", plain)
     none = F.coalesce(~F.col("text").rlike(r"\p{L}"), F.lit(True))
-    marked = predict(plain.withColumn("__none", none), model)
-    none = F.col("__none") | F.col("lang_pred").isNull()
+    marked = predict(plain.withColumn(blank, none), model)
+    none = F.col(blank) | F.col("lang_pred").isNull()
     return marked.select(
-        *plain.columns,
+        *map(col, plain.columns),
         F.when(none, UNKNOWN).otherwise(F.col("lang_pred")).alias("lang_pred"),
         F.when(none, 0.0).otherwise(F.col("score")).alias("score"),
         (none | F.col("rejected")).alias("rejected"),
@@ -145,6 +147,7 @@ def fit_on(docs: DataFrame) -> Model | None:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole document, learnt from those that are not held out."""
     docs = documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), fit_on(docs))
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")

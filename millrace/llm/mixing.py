@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BUCKETS, cut, documents, running_total, word_count
+from millrace.llm.common import BUCKETS, col, cut, documents, running_total, word_count
 
 
 def source_targets(sources: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -82,23 +82,25 @@ def mix(docs: DataFrame, seed: str = "mix", budget_ratio: float = 1.5, max_epoch
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as ``mix`` takes it.
 
-    Rows are matched by doc_id, source and size; if several rows have all three alike,
-    their epochs are added and dealt out evenly among them.
+    Rows are matched by doc_id, source, size and a hash of the text; if several rows have all of these alike,
+    their epochs are added and dealt out evenly among them, as they come. Null and repeated ids, null texts and sources, ties
+    and an empty table are as in ``mix``.
     """
-    epochs = mix(docs, **options)
-    plan = epochs.groupBy(F.struct("doc_id", "source", "size").alias("__key")).agg(F.sum("epochs").alias("__sum"), F.count("*").alias("__n"))
-    rows = docs.withColumn("__key", F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
-    joined = rows.alias("r").join(plan.alias("p").hint("merge"), F.col("r.__key").eqNullSafe(F.col("p.__key")))
-    joined = joined.select("r.*", "__sum", "__n")
-    alike = joined.filter("__n > 1").withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text"))))
-    alike = alike.withColumn("__times", F.floor(F.col("__sum") / F.col("__n")) + F.when(F.col("__nth") <= F.col("__sum") % F.col("__n"), 1).otherwise(0))
-    alone = joined.filter("__n = 1").withColumn("__times", F.col("__sum"))
-    cols = [F.col(c) for c in docs.columns]
-    both = alone.select(*cols, F.col("__times").cast("int").alias("__times")).unionAll(alike.select(*cols, F.col("__times").cast("int").alias("__times")))
-    return both.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = mix(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(F.sum("epochs").alias("total"), F.count("*").alias("n"))
+    # a row's own columns stay together in one, so that their names are free
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), F.struct("doc_id", "source", word_count(F.col("text")).alias("size")).alias("key"), F.xxhash64("text").alias("order"))
+    joined = rows.join(plan.hint("merge"), F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
+    alone = joined.filter("n = 1").select("row", F.col("total").cast("int").alias("times"))
+    # rows that share a key, however many: each has a place in the order of its text's hash, found without sorting them all in one task
+    alike = cut(joined.filter("n > 1").withColumn("_bucket", F.pmod("order", F.lit(BUCKETS)).cast("int")).withColumn("one", F.lit(1).cast("long")))
+    alike = running_total(alike, ["key"], "one", ["order"], "turn")
+    times = F.floor(F.col("total") / F.col("n")) + F.when(F.col("turn") < F.col("total") % F.col("n"), 1).otherwise(0)
+    both = alone.unionAll(alike.select("row", times.cast("int").alias("times")))
+    return both.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -71,13 +72,34 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def within(a: Column, b: Column, bits: int) -> Column:
+    """Whether two fingerprints differ in ``bits`` bits or fewer: first by the Manhattan distance of their counts, which is a lower bound."""
+    return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
+
+
+def zero_groups(points: int, bits: int = BITS) -> int:
+    """Groups of segments that must agree, for a table of so many points.
+
+    Two fingerprints of even bits agree in a segment's count with odds of 3 in 8, so in a cell over ``zeros`` of ``bits + zeros``
+    groups with odds of 3/8 to the power of ``32 zeros / (bits + zeros)``. More zeros make cells finer, and choices more:
+    those are taken that leave each point the fewest rows and candidates.
+    """
+
+    def rows(zeros: int) -> float:
+        choices = math.comb(bits + zeros, zeros)
+        return choices * (1 + points * 0.375 ** (32 * zeros / (bits + zeros)) / 8)  # a candidate costs less than a row
+
+    return min(range(2, 7), key=rows)
+
+
 def linked(distinct: DataFrame, bits: int = BITS, zeros: int = 2) -> DataFrame:
     """Pairs (a, b) of fingerprints in ``distinct`` (fp) that differ in 1 to ``bits`` bits, each once.
 
     The 32 segments form ``bits + zeros`` groups. Within Manhattan distance ``bits`` at least ``zeros`` groups have no
     difference at all, so both points lie in the same cell of the grid over these groups' counts. Cells
     over every choice of ``zeros`` groups are joined; the Manhattan bound, then the Hamming
-    distance, are conditions of the join, which thus gives links alone.
+    distance, are conditions of the join, which thus gives links alone. More ``zeros`` give the same links by
+    finer cells (``zero_groups``).
     """
     n = bits + zeros
     edges = [round(32 * i / n) for i in range(n + 1)]
@@ -114,7 +136,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
     """
     prints = cut(fingerprints(docs, shingle, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(linked(distinct.select("fp"), bits)))
+    roots = cut(components(linked(distinct.select("fp"), bits, zero_groups(distinct.count(), bits))))
     placed = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names.hint("merge"), "root").select(F.col("fp").alias("_fp"), "component_id")
@@ -122,5 +144,6 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole document's fingerprint over three-word shingles, and the smallest doc_id that links of 3 bits or fewer reach."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,16 +2,15 @@ from __future__ import annotations
 
 import pytest
 
-LONG = "lorem ipsum dolor sit amet consectetur " * 20_000
-#: Names that operators might use for columns of their own.
-CLASH = ("size", "g", "fp", "mark", "epochs", "_bucket", "_key", "_doc", "_n", "score", "lang_pred", "rejected", "n_lines", "n_dropped", "start", "length", "hash")
+from tests_llm_help import CLASH
 
+LONG = "lorem ipsum dolor sit amet consectetur " * 20_000
 
 def frame(spark, rows, clash=True):
     """documents of (doc_id, text, lang, source) rows, with further columns."""
     made = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for c in CLASH if clash else ():
-        made = made.selectExpr("*", f"'x' AS {c}")
+        made = made.selectExpr("*", f"'x' AS `{c}`")
     return made
 
 
