@@ -20,8 +20,8 @@ from millrace.llm.graph import components
 DEPTH, SIMILAR = 3, 0.8
 #: Documents in which a template recurs before it is dropped; those that suffice for lines of LONG tokens or more.
 MIN_DOCS, LONG, MIN_LONG = 3, 50, 2
-#: Lines that are held against each other in one place; more are dealt out first.
-TOGETHER = 64
+#: Lines that are held against each other in one place, and their signatures' bytes; more are dealt out first.
+TOGETHER, TOGETHER_BYTES = 1024, 16 << 20
 FIELD = "<*>"
 DIGIT = re.compile(r"[0-9]")
 #: Tokens whose hashes a task keeps, and distinct lines whose signatures it has given; beyond that it starts afresh.
@@ -126,24 +126,24 @@ def links_of_few(few: DataFrame, similar: float) -> DataFrame:
 
 
 def against_head(many: DataFrame, similar: float) -> DataFrame:
-    """(key, line, signature, head, like, places) of larger groups: whether a line is like the group's head, and where it differs."""
-    heads = cut(many.groupBy("key").agg(F.min(F.struct("line", "signature")).alias("head")).select(F.col("key").alias("_key"), F.col("head.line").alias("head"), F.col("head.signature").alias("_top")))
+    """(key, line, n, signature, head, like, places) of larger groups: whether a line is like the group's most recurrent, and where it differs."""
+    heads = cut(many.groupBy("key").agg(F.min(F.struct(-F.col("n"), "line", "signature")).alias("head")).select(F.col("key").alias("_key"), F.col("head.line").alias("head"), F.col("head.signature").alias("_top")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             like, places = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
                 at = np.flatnonzero(np.frombuffer(x, "<u2") != np.frombuffer(y, "<u2")) if len(x) == len(y) else np.arange(len(x) // 2)
                 places.append(at.tolist())
                 like.append(len(x) == len(y) and len(at) <= allowed(len(x) // 2, similar))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["key", "line", "signature", "head", "like", "places"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(like, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["key", "line", "n", "signature", "head", "like", "places"])
 
-    held = many.join(heads.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "signature", "head", "_top")
-    return held.mapInArrow(run, "key long, line long, signature binary, head long, like boolean, places array<int>")
+    held = many.join(heads.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "n", "signature", "head", "_top")
+    return held.mapInArrow(run, "key long, line long, n long, signature binary, head long, like boolean, places array<int>")
 
 
 def dealt(open_: DataFrame, similar: float) -> DataFrame:
-    """Groups (key, line, signature, varying) dealt out to smaller ones (key, line, signature), in which all like lines still meet.
+    """Groups (key, line, n, signature, root, varying) dealt out to smaller ones, in which all like lines still meet.
 
     ``varying`` are the places where lines of the group differ at all. Like lines differ in at most m of them, so of
     m + 1 blocks of those places one is equal; each block and its content is a new group. If there are
@@ -155,43 +155,46 @@ def dealt(open_: DataFrame, similar: float) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key, line, signature, varying = (c[i].as_py() for c in batch.columns)
+                key, signature, varying = (batch.column(c)[i].as_py() for c in (0, 3, 5))
                 blocks = allowed(len(signature) // 2, similar) + 1
                 places, own = np.array(sorted(varying), np.int64), np.frombuffer(signature, "<u2")
                 if len(places) >= blocks:
-                    parts = [xxh64_intdigest(own[p].tobytes() + b"%d %d" % (key, n), 3) for n, p in enumerate(np.array_split(places, blocks))]
-                    yield pa.RecordBatch.from_arrays([pa.array([signed(p) for p in parts], pa.int64()), pa.array([line] * blocks, pa.int64()), pa.array([signature] * blocks, pa.binary())], ["key", "line", "signature"])
+                    parts = [signed(xxh64_intdigest(own[p].tobytes() + b"%d %d" % (key, n), 3)) for n, p in enumerate(np.array_split(places, blocks))]
+                    same = batch.take(pa.array([i] * blocks))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *same.columns[1:5]], ["key", "line", "n", "signature", "root"])
 
-    return open_.mapInArrow(run, "key long, line long, signature binary")
+    return open_.select("key", "line", "n", "signature", "root", "varying").mapInArrow(run, "key long, line long, n long, signature binary, root long")
 
 
 def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER) -> DataFrame:
-    """(a, b) that join what all like pairs of ``lines`` (leaf, line, signature) of one leaf join.
+    """(a, b) that join what all like pairs of ``lines`` (leaf, line, n, signature) of one leaf join.
 
-    Small groups are held pair by pair. In a larger group every line is held against the head; if that leaves
-    several components, its lines are dealt out by blocks of the places where they differ, and the new groups taken
-    likewise, until none is left. No pair is lost however large a leaf is, and no group's pairs are laid out.
+    Small groups are held pair by pair. In a larger group every line is held against the most recurrent; if that leaves
+    several components, its lines are dealt out by blocks of the places where they differ, and the new groups, less those
+    of a single component, taken likewise, until none is left. No pair is lost however large a leaf is, and no group's pairs are laid out.
     """
     home = f"{shared_folder(lines.sparkSession)}/links-{uuid.uuid4().hex}"
-    now, out, turn = lines.select(F.col("leaf").alias("key"), "line", "signature"), None, 0
+    now, out, turn = lines.select(F.col("leaf").alias("key"), "line", "n", "signature", F.col("line").alias("root")), None, 0
     while True:
         now, turn = stored(now, f"{home}/{turn}"), turn + 1
-        sizes = cut(now.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_key"), "_n"))
-        sized = now.join(sizes.hint("merge"), F.col("key") == F.col("_key")).drop("_key")
-        found = cut(links_of_few(sized.filter(F.col("_n") <= together).drop("_n"), similar))
+        sizes = now.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.octet_length("signature")).alias("_bytes"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        few = (F.col("_n") <= together) & (F.col("_bytes") <= TOGETHER_BYTES)
+        sizes = cut(sizes.filter("_low != _high").select(F.col("key").alias("_key"), few.alias("_few")))
+        sized = now.join(sizes.hint("merge"), F.col("key") == F.col("_key"))
+        found = cut(links_of_few(sized.filter("_few").select("key", "line", "signature"), similar))
         out = found if out is None else out.unionAll(found)
-        if sizes.filter(F.col("_n") > together).isEmpty():
+        if sizes.filter("not _few").isEmpty():
             discard(lines.sparkSession, home)
             return out
-        held = cut(against_head(sized.filter(F.col("_n") > together).drop("_n"), similar))
+        held = cut(against_head(sized.filter("not _few").select("key", "line", "n", "signature"), similar))
         discard(lines.sparkSession, home)
         out = out.unionAll(held.filter("like and line != head").select(F.least("head", "line").alias("a"), F.greatest("head", "line").alias("b")))
         roots = cut(components(out))
-        placed = held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").withColumn("root", F.coalesce("root", "line"))
+        placed = cut(held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("key", "line", "n", "signature", F.coalesce("root", "line").alias("root")))
         several = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
         places = held.select("key", F.explode("places").alias("place")).distinct().groupBy("key").agg(F.collect_list("place").alias("varying"))
         wide = cut(several.select(F.col("key").alias("_key")).join(places.hint("merge"), F.col("_key") == F.col("key")).select("_key", "varying"))
-        now = dealt(held.join(wide.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "signature", "varying"), similar)
+        now = dealt(placed.join(wide.hint("merge"), F.col("key") == F.col("_key")), similar)
 
 
 def needed(signature: Column, min_docs: int, long: int, min_long: int) -> Column:
