@@ -211,6 +211,19 @@ def flag_earlier(masks: np.ndarray, heads: np.ndarray, doc: np.ndarray, many: np
     np.bitwise_or.at(masks, which[earlier], np.uint32(1) << nth[earlier].astype(np.uint32))
 
 
+def told_apart(whole: np.ndarray, anchor: np.ndarray, many: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """``whole``, unless unlike contents of one anchor have it alike: then their order among all contents takes its place."""
+    order = np.lexsort((whole, anchor))
+    a, b = order[:-1], order[1:]
+    equal = np.flatnonzero((anchor[a] == anchor[b]) & (whole[a] == whole[b]))
+    for at in range(0, len(equal), WINDOWS):
+        x, y = a[equal[at : at + WINDOWS]], b[equal[at : at + WINDOWS]]
+        if (many[x] != many[y]).any() or (content[x] != content[y]).any():
+            rows = np.c_[many.astype(np.uint8), content]
+            return np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_inverse=True)[1].astype(np.uint64)
+    return whole
+
+
 def earlier_windows(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, many: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
     """Per entry a bit for each of its windows that an entry of a smaller document has as well.
 
@@ -221,6 +234,7 @@ def earlier_windows(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, many
     masks = np.zeros(len(anchor), np.uint32)
     if not len(anchor):
         return masks
+    whole = told_apart(whole, anchor, many, content)  # by bytes, not by hash alone
     order = np.lexsort((doc, whole, anchor))
     a, w, d = anchor[order], whole[order], doc[order]
     first = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])]
@@ -330,7 +344,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
     # both numbers grow with the root of the input, so that blobs between groups and buckets grow with the input
     side = max(1.0, math.sqrt(total / (64 << 30)))
     groups, buckets = int(total / (group_bytes * side)) + 1, int(total / (bucket_bytes * side)) + 1
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     width = length + length - (length // 2 + 1)
 
     def blobs(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
@@ -436,4 +450,5 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each whole document without 50-byte strings that start in one with a smaller doc_id."""
     return removed_spans(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
