@@ -129,6 +129,7 @@ def pack_matrices(docs: DataFrame, ranks_path: str, pattern: str, width: int = W
 
 
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole documents as rows of id matrices, with segment lengths and position resets."""
     import public_tokenizers
 
     return pack_matrices(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -159,4 +159,5 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS,
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each whole document and of its edited text, and what likeness they tell."""
     return fingerprint_edits(documents(spark, sf_dir))

@@ -166,5 +166,6 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 20, id_col: str = "ve
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors found nearest, by inner product, to each whose vec_id is divisible by 20."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))

@@ -142,13 +142,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos
     """Whole texts of ``docs`` packed into sequences of at most ``width`` ids, one row a piece.
 
     Null and empty texts give a piece that is the end id alone; repeated rows give
-    repeated pieces; an empty table gives no rows. Ids are not carried: each piece has
+    repeated pieces; a text of any length is cut into pieces, which may lie in different sequences; an empty table gives
+    no rows; other columns are ignored. Ids are not carried: each piece has
     their checksum, and ``pieces(..., keep_ids=True)`` has them.
     """
     return pack(cut(pieces(docs, tokenizer_path, width, eos)), width)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole documents packed into sequences of at most 4096 ids, a row a piece."""
     import public_tokenizers
 
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

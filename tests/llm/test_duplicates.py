@@ -79,8 +79,11 @@ def test_every_link_within_three_bits(spark):
     prints |= {0, 1, 3, (1 << 64) - 1, (1 << 64) - 8, 1 << 63}
     want = {(a, b) for a in prints for b in prints if simhash.signed(a) < simhash.signed(b) and (a ^ b).bit_count() <= 3}
     frame = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.linked(frame).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for zeros in (2, 3, 4):
+        got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.linked(frame, zeros=zeros).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    grid = [simhash.zero_groups(10**n) for n in range(12)]
+    assert grid == sorted(grid) and grid[0] == grid[5] == 2 and grid[9] > 3
 
 
 def test_components_of_chains_and_stars(spark):
