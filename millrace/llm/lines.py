@@ -22,6 +22,8 @@ DEPTH, SIMILAR = 3, 0.8
 MIN_DOCS, LONG, MIN_LONG = 3, 50, 2
 #: Lines that are held against each other in one place, and their signatures' bytes; more are dealt out first.
 TOGETHER, TOGETHER_BYTES = 1024, 16 << 20
+#: Lines of a larger group in one block.
+BLOCK = 4096
 FIELD = "<*>"
 DIGIT = re.compile(r"[0-9]")
 #: Tokens whose hashes a task keeps, and distinct lines whose signatures it has given; beyond that it starts afresh.
@@ -142,6 +144,31 @@ def against_head(many: DataFrame, similar: float) -> DataFrame:
     return held.mapInArrow(run, "key long, line long, n long, signature binary, head long, like boolean, places array<int>")
 
 
+def against_rest(lines: DataFrame, rest: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between the ``rest`` (key, line, signature, parts) of a group and all its ``lines`` (key, line, signature, root, parts).
+
+    The lines of a group come in ``parts`` blocks; a line of the rest is linked to each root, once a block, that a line like it has.
+    """
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, found = block.combine_chunks().to_pylist(), set()
+        if rows:
+            size = len(rows[0]["signature"])
+            whole = [r for r in rows if len(r["signature"]) == size]
+            own, roots = np.array([np.frombuffer(r["signature"], "<u2") for r in whole]), np.array([r["root"] for r in whole], np.int64)
+            least = size // 2 - allowed(size // 2, similar)
+            for line, signature in zip(asked.column("_line").to_pylist(), asked.column("_signature").to_pylist()):
+                if len(signature) == size:
+                    like = np.unique(roots[(own == np.frombuffer(signature, "<u2")).sum(1) >= least])
+                    found |= {(min(line, r), max(line, r)) for r in like.tolist() if r != line}
+        return pa.table([pa.array([f[i] for f in sorted(found)], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    part = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
+    left = lines.select("key", "line", "signature", "root", part.alias("part"))
+    right = rest.select(*[F.col(c).alias(f"_{c}") for c in ("key", "line", "signature")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+    return left.groupBy("key", "part").cogroup(right.groupBy("_key", "_part")).applyInArrow(run, "a long, b long")
+
+
 def dealt(open_: DataFrame, similar: float) -> DataFrame:
     """Groups (key, line, n, signature, root, varying) dealt out to smaller ones, in which all like lines still meet.
 
@@ -169,8 +196,8 @@ def dealt(open_: DataFrame, similar: float) -> DataFrame:
 def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER) -> DataFrame:
     """(a, b) that join what all like pairs of ``lines`` (leaf, line, n, signature) of one leaf join.
 
-    Small groups are held pair by pair. In a larger group every line is held against the most recurrent; if that leaves
-    several components, its lines are dealt out by blocks of the places where they differ, and the new groups, less those
+    Small groups are held pair by pair. In a larger group every line is held against the most recurrent. If that leaves few
+    lines in other components, these are held against all, in blocks; if many, the lines are dealt out by blocks of the places where they differ, and the new groups, less those
     of a single component, taken likewise, until none is left. No pair is lost however large a leaf is, and no group's pairs are laid out.
     """
     home = f"{shared_folder(lines.sparkSession)}/links-{uuid.uuid4().hex}"
@@ -190,10 +217,21 @@ def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER)
         discard(lines.sparkSession, home)
         out = out.unionAll(held.filter("like and line != head").select(F.least("head", "line").alias("a"), F.greatest("head", "line").alias("b")))
         roots = cut(components(out))
-        placed = cut(held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("key", "line", "n", "signature", F.coalesce("root", "line").alias("root")))
-        several = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
+        placed = cut(held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("key", "line", "n", "signature", "head", F.coalesce("root", "line").alias("root")))
+        several = placed.groupBy("key").agg(F.count("*").alias("_n"), F.max(F.when(F.col("line") == F.col("head"), F.col("root"))).alias("_main"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        several = cut(several.filter("_low != _high").select(F.col("key").alias("_key"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts"), "_main"))
+        # lines outside the head's component: where they are few they meet all of the group, and nothing is left to find there
+        rest = cut(placed.join(several.hint("merge"), F.col("key") == F.col("_key")).filter("root != _main").select("key", "line", "signature", "parts"))
+        few = (F.count("*") <= together) & (F.sum(F.octet_length("signature")) <= TOGETHER_BYTES)
+        kinds = cut(rest.groupBy("key").agg(few.alias("_few"), F.first("parts").alias("parts")).select(F.col("key").alias("_key"), "_few", "parts"))
+        ready, wide = kinds.filter("_few").select("_key", "parts"), kinds.filter("not _few").select("_key")
+        mine = placed.join(ready.hint("merge"), F.col("key") == F.col("_key"))
+        asked = rest.join(ready.select("_key").hint("merge"), F.col("key") == F.col("_key"), "left_semi")
+        out = out.unionAll(cut(against_rest(mine, asked, similar)))
+        if wide.isEmpty():
+            return out
         places = held.select("key", F.explode("places").alias("place")).distinct().groupBy("key").agg(F.collect_list("place").alias("varying"))
-        wide = cut(several.select(F.col("key").alias("_key")).join(places.hint("merge"), F.col("_key") == F.col("key")).select("_key", "varying"))
+        wide = cut(wide.join(places.hint("merge"), F.col("_key") == F.col("key")).select("_key", "varying"))
         now = dealt(placed.join(wide.hint("merge"), F.col("key") == F.col("_key")), similar)
 
 

@@ -40,6 +40,7 @@ def test_leaf_of_many_random_variants_matches_brute_force(spark):
     draw = random.Random(8)
     rows = [(i, "in the end " + " ".join(draw.choice("ab" if p % 3 else "aabc") * 2 for p in range(17)) + " word word word word") for i in range(220)]
     want = dict(templates_of(rows))
+    assert kept(spark, rows, together=30) == want  # larger groups' rests are held against all
     assert kept(spark, rows, together=4) == want
     assert 2 < sum(not x for x in want.values()) < 218
 
