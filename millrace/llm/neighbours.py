@@ -105,6 +105,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
+def meet(stored: DataFrame, looking: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of ``stored`` (bucket, id, v) for each query of ``looking``, over all buckets that they share, in blocks of bounded size."""
+    sizes = stored.groupBy("bucket").agg(F.count("*").alias("n")).join(looking.groupBy("bucket").agg(F.count("*").alias("m")).hint("merge"), "bucket")
+    sizes = cut(sizes.select(F.col("bucket").alias("_b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("down"), F.ceil(F.col("m") / BLOCK).cast("int").alias("across")))
+    here = F.col("bucket") == F.col("_b")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = stored.join(sizes.hint("merge"), here).select("bucket", part("down").alias("i"), every("across").alias("j"), "id", "v")
+    looking = looking.join(sizes.hint("merge"), here).select("bucket", part("across").alias("j"), every("down").alias("i"), "id", "v")
+    keys = ["bucket", "i", "j"]
+    best = looking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(lambda a, b: top_of_block(a, b, k), "query_id long, vec_id long, score double")
+    merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def nearest(vectors: DataFrame, asked: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", functions: int = FUNCTIONS, tables: int = TABLES, probes: int = PROBES, slot: float = SLOT, seed: int = SEED) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product found for each row of ``asked``.
 
@@ -113,7 +129,8 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 20, id_col: str = "ve
     indexed in ``tables`` hash tables. A query looks into its own bucket and the likeliest
     perturbed ones, in estimated success order. Queries and vectors of a bucket
     meet in blocks of bounded size, whatever the bucket holds; the best of each block,
-    by the exact product of the original vectors, are merged over blocks and tables.
+    by the exact product of the original vectors, are merged over blocks and tables. A query
+    whose buckets held fewer than ``k`` vectors is then held against all of its width, in such blocks too.
 
     Returns query_id, rank from 1, vec_id, score; ties go to the smaller id. Vectors that are
     null, empty, zero or hold null or non-finite components take no part, nor do null
@@ -150,19 +167,12 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 20, id_col: str = "ve
                     yield pd.DataFrame({"bucket": bucket_keys(t, x.shape[1], moved), "id": ids, "v": list(x)})
 
     kind = "bucket long, id long, v array<double>"
-    stored, looking = space.mapInPandas(index, kind), queries.mapInPandas(probe, kind)
-    sizes = stored.groupBy("bucket").agg(F.count("*").alias("n")).join(looking.groupBy("bucket").agg(F.count("*").alias("m")).hint("merge"), "bucket")
-    sizes = cut(sizes.select(F.col("bucket").alias("_b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("down"), F.ceil(F.col("m") / BLOCK).cast("int").alias("across")))
-    here = F.col("bucket") == F.col("_b")
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = stored.join(sizes.hint("merge"), here).select("bucket", part("down").alias("i"), every("across").alias("j"), "id", "v")
-    looking = looking.join(sizes.hint("merge"), here).select("bucket", part("across").alias("j"), every("down").alias("i"), "id", "v")
-    keys = ["bucket", "i", "j"]
-    best = looking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(lambda a, b: top_of_block(a, b, k), "query_id long, vec_id long, score double")
-    merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = cut(meet(space.mapInPandas(index, kind), queries.mapInPandas(probe, kind), k))
+    served = cut(top.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("_q")))
+    # the rest, if any, meet all vectors of their width
+    short = queries.join(served.hint("merge"), F.col("id") == F.col("_q"), "left_anti")
+    by_width = lambda x: x.select(F.size("v").cast("long").alias("bucket"), "id", "v")
+    return top.join(served.hint("merge"), F.col("query_id") == F.col("_q"), "left_semi").unionAll(meet(by_width(space), by_width(short), k))
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_norms_ties_blocks_and_odd_vectors(spark, monkeypatch):
     assert [r["vec_id"] for r in got[320]] == [340] and got[320][0]["score"] == pytest.approx(4.0)
 
 
+def test_queries_whose_buckets_hold_too_few_meet_all(spark):
+    draw = np.random.default_rng(3)
+    few = draw.normal(size=(15, 16))
+    many = draw.normal(size=(60, 16)) * draw.lognormal(0, 2, size=(60, 1))
+    for x in (few, many):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = found(neighbours.nearest(table, table.filter("vec_id % 20 = 0"), tables=1, probes=1, slot=0.3).collect())
+        want = brute(np.arange(len(x)), x, np.arange(0, len(x), 20))
+        assert {q: [r["vec_id"] for r in rs] for q, rs in got.items()} == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(none, none).count() == 0
