@@ -320,3 +320,22 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole document's lines, how many of them belong to recurring templates and go, and the digest of what is left."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for ``op8_lines``, where no doc_id is null or repeated: all lines of a leaf pair by pair, and what their links reach.
+OP8_SQL = r"""
+WITH RECURSIVE parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
+lines AS (SELECT doc_id, nth, part, list_transform(regexp_extract_all(part, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
+  lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS line FROM parts),
+kinds AS (SELECT line, len(line) AS size, line[1:3] AS start FROM lines WHERE len(line) > 0 GROUP BY line),
+pairs AS (SELECT a.line AS x, b.line AS y FROM kinds a JOIN kinds b ON a.size = b.size AND a.start = b.start AND a.line <> b.line
+  WHERE len(list_filter(list_zip(a.line, b.line), lambda z: z[1] = z[2])) >= ceil(0.8 * a.size - 1e-9)),
+reach AS (SELECT line, line AS other FROM kinds UNION SELECT reach.line, y FROM reach JOIN pairs ON other = x),
+named AS (SELECT line, min(other) AS template FROM reach GROUP BY line),
+often AS (SELECT template, min(doc_id) AS first_doc FROM lines JOIN named USING (line) GROUP BY template
+  HAVING count(DISTINCT doc_id) >= CASE WHEN len(template) >= 50 THEN 2 ELSE 3 END),
+gone AS (SELECT line, first_doc FROM named JOIN often USING (template)),
+told AS (SELECT doc_id, nth, part, coalesce(doc_id <> first_doc, false) AS dropped FROM lines LEFT JOIN gone USING (line)),
+left_ AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, string_agg(part, chr(10) ORDER BY nth) FILTER (NOT dropped) AS kept FROM told GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN left_ USING (doc_id)
+"""

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from millrace.llm.bins import op2_token_matrices
 from millrace.llm.language import op4_language
-from millrace.llm.lines import op8_lines
+from millrace.llm.lines import OP8_SQL, op8_lines
 from millrace.llm.minhash import op5_minhash
 from millrace.llm.mixing import OP3_SQL, op3_mixing
 from millrace.llm.neighbours import op1_neighbours
 from millrace.llm.packing import op10_packing
 from millrace.llm.quality import op7_quality
 from millrace.llm.simhash import op9_simhash
-from millrace.llm.substrings import op6_substrings
+from millrace.llm.substrings import OP6_SQL, op6_substrings
 
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op6_substrings, op7_quality, op8_lines, op9_simhash, op10_packing)}
 
-SQL = {"op3_mixing": OP3_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op6_substrings": OP6_SQL, "op8_lines": OP8_SQL}

@@ -452,3 +452,21 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROU
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each whole document without 50-byte strings that start in one with a smaller doc_id."""
     return removed_spans(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: DuckDB SQL for ``op6_substrings``, where no doc_id is null or repeated. Bytes are pairs of hex digits; places count from 1; long texts are cut in overlapping parts of 549 bytes.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, base, substr(h, 2 * base + 1, 1098) AS c FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 500)) AS base FROM d)),
+w AS (SELECT doc_id, base + pos AS pos, substr(c, 2 * pos - 1, 100) AS string FROM (SELECT *, unnest(range(1, length(c) // 2 - 48)) AS pos FROM c WHERE length(c) >= 100)),
+s AS (SELECT string, min(doc_id) AS least FROM w GROUP BY string HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, pos, least FROM w JOIN s USING (string)),
+hit AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM g WHERE least < doc_id),
+part AS (SELECT doc_id, pos, sum(CASE WHEN pos <= prior + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM part GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), 1000000000 FROM runs GROUP BY doc_id),
+left_ AS (SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""

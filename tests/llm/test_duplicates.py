@@ -6,11 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import graph, lines, minhash, simhash, substrings
+from millrace.llm import graph, lines, minhash, queries, simhash, substrings
 from tests_llm_help import shingles  # noqa: E402  (beside this file)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,3 +251,14 @@ def test_lines_of_odd_rows(odd, none):
     assert got.columns == [c for c in odd.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == templates_of(rows)
     assert lines.drop_recurring(none).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_substrings", "op8_lines"])
+def test_matches_duckdb(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
