@@ -67,6 +67,32 @@ def test_queries_whose_buckets_hold_too_few_meet_all(spark):
         assert {q: [r["vec_id"] for r in rs] for q, rs in got.items()} == want
 
 
+@pytest.mark.parametrize("longest", [1.0, 20.0, 1000.0])
+def test_recall_beside_a_very_long_vector(spark, longest):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(2000, 32)).astype(np.float32)
+    x[7] *= longest
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = found(neighbours.nearest(table, table.filter("vec_id % 20 = 0")).collect())
+    want = brute(np.arange(2000), x.astype(float), np.arange(0, 2000, 20))
+    assert got.keys() == want.keys()
+    assert np.mean([len({r["vec_id"] for r in rs} & set(want[q])) / 20 for q, rs in got.items()]) >= 0.95
+
+
+def test_of_rows_with_one_id_the_least_vector_counts(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, table.filter("vec_id = 0")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 2.0), (2, 2, 1.0)]
+
+
+def test_norms_that_hardly_can_be_squared(spark):
+    rows = [(0, [1e-300, 1e-300]), (1, [1e200, 0.0]), (2, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(neighbours.nearest(table, table).collect())
+    assert {q: [r["vec_id"] for r in rs] for q, rs in got.items()} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(none, none).count() == 0
