@@ -167,9 +167,10 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 20, id_col: str = "ve
     space, queries = usable(vectors, id_col, vector_col, kind), usable(asked, id_col, vector_col, kind)
     longest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))  # squares of its share neither overflow nor vanish
     norm = longest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / longest, F.lit(2.0))))
-    greatest = float(space.agg(F.max(norm)).first()[0] or 1.0)
-    place = F.least(F.floor((math.log(greatest) - F.log(norm)) / math.log(FACTOR)), F.lit(RANGES - 1)).cast("int")
-    space = space.withColumn("n", norm).withColumn("r", F.greatest(place, F.lit(0)))
+    space = cut(space.withColumn("n", norm))  # norms are worked out once
+    greatest = float(space.agg(F.max("n")).first()[0] or 1.0)
+    place = F.least(F.floor((math.log(greatest) - F.log("n")) / math.log(FACTOR)), F.lit(RANGES - 1)).cast("int")
+    space = space.withColumn("r", F.greatest(place, F.lit(0)))
     tops = {r["r"]: r["n"] for r in space.groupBy("r").agg(F.max("n").alias("n")).collect()}  # RANGES rows at most
     sets = perturbations(functions, probes)
 
