@@ -10,9 +10,10 @@ from millrace.llm.mixing import OP3_SQL, op3_mixing
 from millrace.llm.neighbours import op1_neighbours
 from millrace.llm.packing import op10_packing
 from millrace.llm.quality import op7_quality
+from millrace.llm.search import OP11_SQL, op11_search
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.substrings import OP6_SQL, op6_substrings
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op6_substrings, op7_quality, op8_lines, op9_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op6_substrings, op7_quality, op8_lines, op9_simhash, op10_packing, op11_search)}
 
-SQL = {"op3_mixing": OP3_SQL, "op6_substrings": OP6_SQL, "op8_lines": OP8_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op6_substrings": OP6_SQL, "op8_lines": OP8_SQL, "op11_search": OP11_SQL}
