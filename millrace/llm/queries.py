@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.bbit import OP13_SQL, op13_minhash
 from millrace.llm.bins import op2_token_matrices
 from millrace.llm.language import op4_language
 from millrace.llm.lines import OP8_SQL, op8_lines
@@ -14,6 +15,6 @@ from millrace.llm.search import OP11_SQL, op11_search
 from millrace.llm.simhash import op9_simhash
 from millrace.llm.substrings import OP6_SQL, op6_substrings
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op6_substrings, op7_quality, op8_lines, op9_simhash, op10_packing, op11_search)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_token_matrices, op3_mixing, op4_language, op5_minhash, op6_substrings, op7_quality, op8_lines, op9_simhash, op10_packing, op11_search, op13_minhash)}
 
-SQL = {"op3_mixing": OP3_SQL, "op6_substrings": OP6_SQL, "op8_lines": OP8_SQL, "op11_search": OP11_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op6_substrings": OP6_SQL, "op8_lines": OP8_SQL, "op11_search": OP11_SQL, "op13_minhash": OP13_SQL}
