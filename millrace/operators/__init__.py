@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import range_join as range_join
+from millrace.operators.sessions import sessions as sessions
+
 
 def as_of_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, value: str, alias: str, span: str = "hour"

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import exact_sum
-from millrace.operators import as_of_join
-from millrace.sources import table
-from millrace.streaming import windowed_counts
+from millrace.functions import exact_sum, micros
+from millrace.operators import as_of_join, range_join, sessions
+from millrace.sources import shared_folder, table
+from millrace.streaming import append_to_files, distinct_events, event_stream, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +91,46 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
 
 
+def sessions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spent = F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,4)"))
+    return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 4 * 3600, {"spent": spent})
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions, with no gap over four hours, their events and what was spent in them."""
+    return sessions_of(spark, sf_dir).withColumn("spent", F.col("spent").cast("double"))
+
+
+def sessions_at_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range join: for each purchase the sessions, of any user, that were open just then."""
+    events = table(spark, sf_dir, "events")
+    kind = events.schema["ts"].dataType
+    buys = events.filter("event_type = 'purchase'").select("event_id", micros(F.col("ts"), kind).alias("at"))
+    open_ = sessions_of(spark, sf_dir).select(micros(F.col("session_start"), kind).alias("opened"), micros(F.col("session_end"), kind).alias("closed"))
+    return range_join(buys, open_, "at", "opened", "closed").groupBy("event_id").agg(F.count("*").alias("n_sessions"))
+
+
+def orders_in_price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range join: for each part the orders whose total lies from a hundred times its price to 5 above."""
+    bands = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 5).alias("high"))
+    met = range_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high")
+    return met.groupBy("p_partkey").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_order"), exact_sum(F.col("o_totalprice")).alias("total"))
+
+
+def closed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream in append mode into files: event counts of the hours that the watermark, ten minutes behind the latest event, has closed."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return append_to_files(windowed_counts(event_stream(spark, f"{sf_dir}/events.parquet*")), f"{home}/out", f"{home}/state")
+
+
+def redelivered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream dedup: all events arrive twice; each counts once, by its id, within an hour of the watermark."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    twice = event_stream(spark, f"{sf_dir}/events.parquet*").unionByName(event_stream(spark, f"{sf_dir}/events.parquet*"))
+    once = append_to_files(distinct_events(twice, ["event_id"]), f"{home}/out", f"{home}/state")
+    return once.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
+
+
 SQL = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01' GROUP BY 1, 2 ORDER BY 1, 2",
     "top_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
@@ -101,6 +142,11 @@ SQL = {
     "hourly_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "last_view_before_purchase": "SELECT p.event_id, p.user_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS view_id FROM events p WHERE p.event_type = 'purchase'",
     "exact_duplicates": "SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "user_sessions": "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS starts FROM events), runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 4 HOUR AS session_end, count(*) AS n_rows, CAST(sum(CAST(value AS DECIMAL(18,4))) FILTER (event_type = 'purchase') AS DOUBLE) AS spent FROM runs GROUP BY user_id, run",
+    "sessions_at_purchases": "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS starts FROM events), runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps), sessions AS (SELECT min(ts) AS opened, max(ts) + INTERVAL 4 HOUR AS closed FROM runs GROUP BY user_id, run) SELECT event_id, count(*) AS n_sessions FROM events JOIN sessions ON ts >= opened AND ts < closed WHERE event_type = 'purchase' GROUP BY event_id",
+    "orders_in_price_bands": "SELECT p_partkey, count(*) AS n_orders, min(o_orderkey) AS first_order, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM part JOIN orders ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 5 GROUP BY p_partkey",
+    "closed_hourly_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "redelivered_events": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (pricing_summary, top_orders, customers_with_urgent_orders, orders_without_lines, revenue_by_region, order_cube, order_history, hourly_events, last_view_before_purchase, exact_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (pricing_summary, top_orders, customers_with_urgent_orders, orders_without_lines, revenue_by_region, order_cube, order_history, hourly_events, last_view_before_purchase, exact_duplicates, user_sessions, sessions_at_purchases, orders_in_price_bands, closed_hourly_events, redelivered_events)}
