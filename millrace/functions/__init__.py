@@ -19,3 +19,8 @@ def micros(time: Column, kind: DataType) -> Column:
     days = F.date_diff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     seconds = (days * 24 + F.hour(time)) * 3600 + F.minute(time) * 60
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
+def json_number(text: Column, path: str, kind: str = "bigint") -> Column:
+    """The number at ``path`` of a JSON text, read once into a VARIANT; null where the text is no JSON, has nothing there, or something that is no such number."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)

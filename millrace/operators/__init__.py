@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.moving import moving_sums as moving_sums
 from millrace.operators.ranges import range_join as range_join
 from millrace.operators.sessions import sessions as sessions
+from millrace.operators.sketches import distinct_estimate as distinct_estimate
+from millrace.operators.sketches import merged_sketches as merged_sketches
+from millrace.operators.sketches import quantile as quantile
+from millrace.operators.sketches import sketched as sketched
 
 
 def as_of_join(

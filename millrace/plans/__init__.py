@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import exact_sum, micros
-from millrace.operators import as_of_join, range_join, sessions
+from millrace.functions import exact_sum, json_number, micros
+from millrace.operators import as_of_join, distinct_estimate, merged_sketches, moving_sums, quantile, range_join, sessions, sketched
 from millrace.sources import shared_folder, table
 from millrace.streaming import append_to_files, distinct_events, event_stream, windowed_counts
 
@@ -131,6 +131,35 @@ def redelivered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
 
 
+def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users and the median amount of each event type, by sketches of each day merged, held against the exact figures.
+
+    ``users_close``: the estimate is within four standard errors; ``median_close``: its rank is within 0.03 of a half.
+    """
+    events = table(spark, sf_dir, "events")
+    days = sketched(events, ["event_type", F.to_date("ts").alias("day")], F.col("user_id"), F.col("value"))
+    found = merged_sketches(days, ["event_type"]).select(F.col("event_type").alias("_type"), distinct_estimate().alias("_users"), quantile(0.5).alias("_median"))
+    met = events.join(found.hint("merge"), F.col("event_type") == F.col("_type"))
+    exact = met.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.first("_users").alias("_users"), F.count_if(F.col("value") <= F.col("_median")).alias("_below"), F.count_if(F.col("value") < F.col("_median")).alias("_under")
+    )
+    near = (F.col("_below") >= 0.47 * F.col("n")) & (F.col("_under") <= 0.53 * F.col("n"))
+    return exact.select("event_type", "n", "users", (F.abs(F.col("_users") - F.col("users")) <= 1 + 4 * 1.04 / 64 * F.col("users")).alias("users_close"), near.alias("median_close"))
+
+
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and the tens of the number k in their JSON properties, read as VARIANT."""
+    events = table(spark, sf_dir, "events").select("event_type", json_number(F.col("props"), "$.k").alias("k"))
+    return events.groupBy("event_type", F.expr("k div 10").alias("tens")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+def spent_in_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event what its user's events of the day until then add up to, and how many they are."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    found = moving_sums(events, ["user_id"], "ts", 86400, {"day_value": F.col("value").cast("decimal(18,4)"), "day_events": F.lit(1).cast("long")})
+    return found.select("event_id", F.col("day_value").cast("double").alias("day_value"), "day_events")
+
+
 SQL = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01' GROUP BY 1, 2 ORDER BY 1, 2",
     "top_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
@@ -146,7 +175,10 @@ SQL = {
     "sessions_at_purchases": "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS starts FROM events), runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps), sessions AS (SELECT min(ts) AS opened, max(ts) + INTERVAL 4 HOUR AS closed FROM runs GROUP BY user_id, run) SELECT event_id, count(*) AS n_sessions FROM events JOIN sessions ON ts >= opened AND ts < closed WHERE event_type = 'purchase' GROUP BY event_id",
     "orders_in_price_bands": "SELECT p_partkey, count(*) AS n_orders, min(o_orderkey) AS first_order, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM part JOIN orders ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 5 GROUP BY p_partkey",
     "closed_hourly_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "daily_sketches": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close FROM events GROUP BY event_type",
+    "event_properties": "SELECT event_type, CAST(props->>'$.k' AS BIGINT) // 10 AS tens, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2",
+    "spent_in_a_day": "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS day_value, count(*) OVER w AS day_events FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)",
     "redelivered_events": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (pricing_summary, top_orders, customers_with_urgent_orders, orders_without_lines, revenue_by_region, order_cube, order_history, hourly_events, last_view_before_purchase, exact_duplicates, user_sessions, sessions_at_purchases, orders_in_price_bands, closed_hourly_events, redelivered_events)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (pricing_summary, top_orders, customers_with_urgent_orders, orders_without_lines, revenue_by_region, order_cube, order_history, hourly_events, last_view_before_purchase, exact_duplicates, user_sessions, sessions_at_purchases, orders_in_price_bands, closed_hourly_events, redelivered_events, daily_sketches, event_properties, spent_in_a_day)}
