@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, documents, slices
 from millrace.llm.graph import components
+from millrace.llm.simhash import within
 
 SHINGLE, LIKE, SEED = 5, 0.85, 42
 #: Minima a set, and low bits kept of each; packed into WIDTH longs.
@@ -26,9 +27,9 @@ SHORT = 5
 LOW = 0x5555555555555555
 #: Shingles that meet all hash functions at once.
 STEP = 4096
-#: Sets of one bucket that are held against each other in one place; and of one block of a larger bucket.
-FEW, BLOCK = 256, 2048
-#: Counters by which shingles are put in order, the rarer first; tokens share them by hash.
+#: Sets of one bucket that are held against each other in one place, and shingles of them; and sets of one block of a larger bucket.
+FEW, WEIGHT, BLOCK = 256, 1 << 20, 512
+#: Counters by which shingles are put in order, the rarer first; shingles share them by hash.
 SLOTS = 1 << 18
 
 
@@ -58,24 +59,43 @@ def shingle_hashes(text: str | bytes | None, shingle: int = SHINGLE) -> np.ndarr
     return np.unique(np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(size))))]), np.uint64))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def hashing(n: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(SEED)
-    return draw.integers(0, 1 << 63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, (n, 1), np.uint64)
+    """Factors and summands of the first n of an endless row of hash functions."""
+    draws = [np.random.default_rng([SEED, i]).integers(0, 1 << 63, (n, 1), np.uint64) for i in (0, 1)]
+    return draws[0] * np.uint64(2) + np.uint64(1), draws[1]
 
 
-def marks(hashes: np.ndarray, bands: int) -> list[int]:
-    """WIDTH longs of packed low bits of the minima, then a long for each band; nothing for a set without shingles."""
+def minima(hashes: np.ndarray, many: int, first: int = 0) -> np.ndarray:
+    """The least value of each of ``many`` hash functions, from the ``first`` on, over a set that is not empty."""
+    a, b = (x[first : first + many] for x in hashing(first + many))
+    return np.min([(hashes[at : at + STEP] * a + b).min(1) for at in range(0, len(hashes), STEP)], axis=0)
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> list[int]:
+    """A long for each band of minima; none for a set without shingles."""
     from xxhash import xxh64_intdigest
 
     if not len(hashes):
         return []
-    a, b = hashing(max(MINIMA, bands * ROWS))
-    least = np.min([(hashes[at : at + STEP] * a + b).min(1) for at in range(0, len(hashes), STEP)], axis=0)
-    low = ((least[:MINIMA] >> np.uint64(20)) & np.uint64(2**BITS - 1)).astype(np.uint8)  # the lowest bits of a product are the same for many functions
-    packed = np.packbits(np.unpackbits(low.reshape(-1, 1), axis=1)[:, -BITS:].reshape(-1)).view("<i8")
-    keys = [xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least[: bands * ROWS].reshape(bands, ROWS))]
-    return packed.tolist() + np.array(keys, np.uint64).view(np.int64).tolist()
+    rows = minima(hashes, bands * ROWS).reshape(bands, ROWS)
+    return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def signature(hashes: np.ndarray) -> list[int]:
+    """BITS bits of each of MINIMA minima, packed into longs; none for a set without shingles."""
+    if not len(hashes):
+        return []
+    low = ((minima(hashes, MINIMA) >> np.uint64(20)) & np.uint64(2**BITS - 1)).astype(np.uint8)  # the lowest bits of a product are the same for many functions
+    return np.packbits(np.unpackbits(low.reshape(-1, 1), axis=1)[:, -BITS:].reshape(-1)).view("<i8").tolist()
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed long: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        ones += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view("<i8")[0])
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -89,22 +109,19 @@ def row_key(doc_id: Column, text_hash: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
 
 
-def keyed(docs: DataFrame, like: float = LIKE, print_of: Callable[[np.ndarray], int] | None = None) -> DataFrame:
-    """(doc_id, text_hash, set, n, fp, marks) for each row of ``docs``: its set's key and size, and what candidates are found by.
-
-    ``print_of`` may give a fingerprint of the set, for a further sieve.
-    """
+def keyed(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """(doc_id, text_hash, set, n, bands) for each row of ``docs``: its set's key and size, and the keys of its bands."""
     bands = band_count(like)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 sets = [shingle_hashes(text) for text in part.column(2).to_pylist()]
-                longs = [pa.array([of(x) if of else None for x in sets], pa.int64()) for of in (set_key, len, print_of)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, pa.array([marks(x, bands) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "set", "n", "fp", "marks"])
+                longs = [pa.array([of(x) for x in sets], pa.int64()) for of in (set_key, len)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "set", "n", "bands"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return named.mapInArrow(run, "doc_id long, text_hash long, set long, n long, fp long, marks array<long>")
+    return named.mapInArrow(run, "doc_id long, text_hash long, set long, n long, bands array<long>")
 
 
 def agreement(x: Column, y: Column) -> Column:
@@ -113,13 +130,20 @@ def agreement(x: Column, y: Column) -> Column:
     return F.lit(MINIMA) - reduce(lambda a, b: a + b, [F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(LOW))) for d in apart])
 
 
-def sifted(pairs: DataFrame, marked: DataFrame, like: float, near: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """The different ``pairs`` (a, b) whose sizes and signatures, and fingerprints if ``near`` is given, allow ``like``."""
-    x, y = (marked.select(F.col("set").alias(s), F.struct("n", "marks", "fp").alias(f"_{s}")) for s in ("_x", "_y"))
+def sifted(pairs: DataFrame, held: DataFrame, like: float, radius: int | None) -> DataFrame:
+    """The different ``pairs`` (a, b) whose sizes and signatures, and fingerprints within ``radius`` bits if that is given, allow ``like``."""
+    x, y = (held.select(F.col("set").alias(s), F.struct("n", "marks", "fp").alias(f"_{s}")) for s in ("_x", "_y"))
     met = pairs.distinct().join(x.hint("merge"), F.col("a") == F.col("_x")).join(y.hint("merge"), F.col("b") == F.col("_y"))
     n, m = F.col("__x.n"), F.col("__y.n")
     keep = (F.least(n, m) >= F.lit(like) * F.greatest(n, m)) & (agreement(F.col("__x.marks"), F.col("__y.marks")) >= least_agreement(like))
-    return met.filter(keep & near(F.col("__x.fp"), F.col("__y.fp")) if near else keep).select("a", "b")
+    return met.filter(keep if radius is None else keep & within(F.col("__x.fp"), F.col("__y.fp"), radius)).select("a", "b")
+
+
+def overlap(x: bytes, y: bytes, like: float) -> bool:
+    """Whether two sets, as bytes of sorted hashes, have Jaccard likeness ``like`` or more."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= like * (len(x) + len(y) - both) - 1e-9
 
 
 def alike(pairs: DataFrame, held: DataFrame, like: float) -> DataFrame:
@@ -127,11 +151,7 @@ def alike(pairs: DataFrame, held: DataFrame, like: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= like * (len(x) + len(y) - both) - 1e-9)
+            keep = [overlap(x.as_buffer(), y.as_buffer(), like) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sized = pairs.join(held.select(F.col("set").alias("_a"), F.col("hashes").alias("x")).hint("merge"), F.col("a") == F.col("_a"))
@@ -140,7 +160,7 @@ def alike(pairs: DataFrame, held: DataFrame, like: float) -> DataFrame:
 
 
 def hash_sets(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set, hashes) for each of ``sets`` (set), from the text of one of its ``rows`` (set, row). Texts move once."""
+    """(set, n, marks, fp, hashes) for each of ``sets`` (set), from the text of one of its ``rows`` (set, row). Texts move once."""
     wanted = rows.join(sets.select(F.col("set").alias("_set")).distinct().hint("merge"), F.col("set") == F.col("_set"), "left_semi")
     wanted = cut(wanted.select(row_key(F.col("row.doc_id"), F.col("row.text_hash")).alias("_key")))
 
@@ -148,79 +168,114 @@ def hash_sets(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 0):
                 found = [shingle_hashes(text) for text in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["set", "hashes"])
+                longs = [pa.array([of(x) for x in found], pa.int64()) for of in (set_key, len, set_print)]
+                lists = [pa.array([signature(x) for x in found], pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([longs[0], longs[1], lists[0], longs[2], lists[1]], ["set", "n", "marks", "fp", "hashes"])
 
     named = docs.select(row_key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     texts = named.join(wanted.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
-    return texts.dropDuplicates(["key"]).select("text").mapInArrow(run, "set long, hashes binary").dropDuplicates(["set"])
+    return texts.dropDuplicates(["key"]).select("text").mapInArrow(run, "set long, n long, marks array<long>, fp long, hashes binary")
 
 
-def starred(buckets: DataFrame) -> DataFrame:
-    """(bucket, set, head) for the sets of buckets that hold several; head is the least of a bucket."""
-    heads = buckets.groupBy("bucket").agg(F.min("set").alias("head"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("bucket").alias("_bucket"), "head")
-    return buckets.join(cut(heads).hint("merge"), F.col("bucket") == F.col("_bucket")).select("bucket", "set", "head")
+def different(buckets: DataFrame) -> DataFrame:
+    """(bucket, set, n, head, size, total) of ``buckets`` (bucket, set, n) that hold several sets; of buckets of the same sets, one. head is a bucket's least set."""
+    sums = [F.count("*").alias("size"), F.sum("n").alias("total"), F.min("set").alias("head"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("_sum")]
+    found = buckets.groupBy("bucket").agg(*sums).filter("size > 1")
+    once = cut(found.groupBy("size", "total", "head", "_sum").agg(F.min("bucket").alias("_bucket")).drop("_sum"))
+    return buckets.join(once.hint("merge"), F.col("bucket") == F.col("_bucket")).select("bucket", "set", "n", "head", "size", "total")
 
 
-def apart(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(bucket, set, root, size) for the buckets whose sets the ``edges`` leave in different components."""
-    roots = cut(components(edges))
-    placed = cut(buckets.join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("bucket", "set", F.coalesce("root", "set").alias("root")))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size")).filter("_low != _high")
-    return cut(placed.join(cut(mixed.select(F.col("bucket").alias("_bucket"), "size")).hint("merge"), F.col("bucket") == F.col("_bucket")).select("bucket", "set", "root", "size"))
+def apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``buckets`` whose sets are of different components by ``roots`` (node, root), with each set's root."""
+    rooted = cut(buckets.join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select(*buckets.columns, F.coalesce("root", "set").alias("root")))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
+    return cut(rooted.join(cut(mixed.select(F.col("bucket").alias("_bucket"))).hint("merge"), F.col("bucket") == F.col("_bucket"), "left_semi"))
 
 
-def likely(rows: pa.StructArray, more: pa.StructArray | None, like: float) -> Iterator[tuple[int, int]]:
-    """Pairs of sets (set, root, n, marks) of different roots whose sizes and signatures allow ``like``; with ``more`` only between the two."""
+def joined(rows: pa.StructArray, more: pa.StructArray | None, like: float, radius: int | None) -> list[tuple[int, int]]:
+    """Links (a, b) that join what all like pairs of sets (set, root, n, marks, fp, hashes) join, beyond their roots; with ``more`` only pairs between the two.
 
-    def columns(x: pa.StructArray) -> list[np.ndarray]:
-        return [*(x.field(i).to_numpy(zero_copy_only=False) for i in range(3)), x.field(3).flatten().to_numpy().reshape(len(x), -1)[:, :WIDTH].view(np.uint64)]
+    Sizes, signatures and fingerprints sift first; then whole sets are compared, unless they are joined already.
+    """
+
+    def columns(x: pa.StructArray) -> tuple:
+        longs = [x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)]
+        return (*longs, x.field(3).flatten().to_numpy().reshape(len(x), -1).view(np.uint64), x.field(5))
 
-    own, least = columns(rows), least_agreement(like)
+    own, least, above, found = columns(rows), least_agreement(like), {}, []
     other = columns(more) if more is not None else own
+    prints = other[3].view(np.uint64)
+    counts = [(prints | prints >> np.uint64(1)) & np.uint64(LOW), prints & prints >> np.uint64(1) & np.uint64(LOW)]  # ones in each two-bit segment: some, both
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
     for i in range(len(rows)):
-        at = slice(i + 1, None) if more is None else slice(None)
-        sets, roots, n, signature = (c[at] for c in other)
-        fits = (roots != own[1][i]) & (np.minimum(n, own[2][i]) >= like * np.maximum(n, own[2][i]))
-        if fits.any():
-            d = signature[fits] ^ own[3][i]
-            same = MINIMA - np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(LOW)).sum(1, dtype=np.int64)
-            for other_set in sets[fits][same >= least].tolist():
-                yield int(own[0][i]), other_set
+        start = i + 1 if more is None else 0
+        set_, mine, n, fp = (int(own[c][i]) for c in range(4))
+        fits = (other[1][start:] != mine) & (np.minimum(other[2][start:], n) >= like * np.maximum(other[2][start:], n))
+        if radius is not None:
+            bits = np.uint64(fp & (1 << 64) - 1)
+            some, both = (bits | bits >> np.uint64(1)) & np.uint64(LOW), bits & bits >> np.uint64(1) & np.uint64(LOW)
+            bound = np.bitwise_count(counts[0][start:] ^ some).astype(np.int64) + np.bitwise_count(counts[1][start:] ^ both)
+            fits &= (bound <= radius) & (np.bitwise_count(prints[start:] ^ bits) <= radius)
+        at = np.flatnonzero(fits) + start
+        d = other[4][at] ^ own[4][i]
+        same = MINIMA - np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(LOW)).sum(1, dtype=np.int64)
+        for j in at[same >= least].tolist():
+            x, y = root(mine), root(int(other[1][j]))
+            if x != y and overlap(own[5][i].as_buffer(), other[5][j].as_buffer(), like):
+                above[max(x, y)] = min(x, y)
+                found.append((set_, int(other[0][j])))
+    return found
+
+
+MEMBER = ("set", "root", "n", "marks", "fp", "hashes")
 
 
-def within_buckets(few: DataFrame, marked: DataFrame, like: float) -> DataFrame:
-    """(a, b) from buckets of at most FEW sets, a row of lists each."""
+def whole(buckets: DataFrame, held: DataFrame) -> DataFrame:
+    """``buckets`` (bucket, set, root, ...) with the whole sets."""
+    return buckets.drop("n").join(held.withColumnRenamed("set", "_set").hint("merge"), F.col("set") == F.col("_set")).drop("_set")
+
+
+def within_buckets(few: DataFrame, held: DataFrame, like: float, radius: int | None) -> DataFrame:
+    """Links (a, b) from small buckets (bucket, set, root), a row of lists each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(min(p), max(p)) for group in batch.column(0) for p in likely(group.values, None, like)}
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for group in batch.column(0):
+                found = joined(group.values, None, like, radius)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    full = few.join(marked.select(F.col("set").alias("_set"), "n", "marks").hint("merge"), F.col("set") == F.col("_set"))
-    return full.groupBy("bucket").agg(F.collect_list(F.struct("set", "root", "n", "marks")).alias("sets")).select("sets").mapInArrow(run, "a long, b long")
+    return whole(few, held).groupBy("bucket").agg(F.collect_list(F.struct(*MEMBER)).alias("sets")).select("sets").mapInArrow(run, "a long, b long")
 
 
-def against_rest(many: DataFrame, marked: DataFrame, like: float) -> DataFrame:
-    """(a, b) from larger buckets: the sets outside a bucket's main component meet all of it, in blocks."""
+def against_rest(many: DataFrame, held: DataFrame, like: float, radius: int | None) -> DataFrame:
+    """Links (a, b) from larger buckets (bucket, set, root, size, total): the sets outside a bucket's main component meet all of it, block by block."""
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        found: set = set()
+        found: list = []
         if block.num_rows and asked.num_rows:
-            whole, more = (t.select([p + c for c in ("set", "root", "n", "marks")]).to_struct_array().combine_chunks() for t, p in ((block, ""), (asked, "_")))
-            found = {(min(p), max(p)) for p in likely(more, whole, like)}
+            rows, more = (t.select([p + c for c in MEMBER]).combine_chunks().to_struct_array().combine_chunks() for t, p in ((asked, "_"), (block, "")))
+            found = joined(rows, more, like, radius)
         return pa.table([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    main = many.groupBy("bucket", "root").agg(F.count("*").alias("_n")).groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"))
-    full = many.join(marked.select(F.col("set").alias("_set"), "n", "marks").hint("merge"), F.col("set") == F.col("_set")).drop("_set")
-    full = full.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rest = full.join(cut(main.select(F.col("bucket").alias("_bucket"), "_main")).hint("merge"), F.col("bucket") == F.col("_bucket")).filter("root != _main")
-    left = full.select("bucket", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"), "set", "root", "n", "marks")
-    right = rest.select(*[F.col(c).alias(f"_{c}") for c in ("bucket", "set", "root", "n", "marks")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
-    return left.groupBy("bucket", "part").cogroup(right.groupBy("_bucket", "_part")).applyInArrow(run, "a long, b long")
+    main = many.groupBy("bucket", "root").agg(F.count("*").alias("_n")).groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), (F.sum("_n") - F.max("_n")).alias("_rest"))
+    main = cut(main.select(F.col("bucket").alias("_bucket"), "_main", "_rest"))
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / (WEIGHT / 2))).cast("int")
+    full = many.join(main.hint("merge"), F.col("bucket") == F.col("_bucket")).withColumn("parts", parts).withColumn("asking", F.ceil(F.col("parts") * F.col("_rest") / F.col("size")).cast("int"))
+    full = cut(whole(full, held))
+    nth = F.xxhash64("set")
+    left = full.select("bucket", F.pmod(nth, "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("ask"), *MEMBER)
+    rest = full.filter("root != _main").withColumn("_ask", F.pmod(nth, "asking").cast("int"))
+    right = rest.select(F.col("bucket").alias("_bucket_"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), "_ask", *[F.col(c).alias(f"_{c}") for c in MEMBER])
+    return left.groupBy("bucket", "part", "ask").cogroup(right.groupBy("_bucket_", "_part", "_ask")).applyInArrow(run, "a long, b long")
 
 
 def prefixes(sets: DataFrame, held: DataFrame, like: float) -> DataFrame:
-    """(bucket, set): the rarest shingles of each of ``sets`` (set), so many that two sets of likeness ``like`` share one of them.
+    """(bucket, set, n): the rarest shingles of each of ``sets`` (set), so many that two sets of likeness ``like`` share one of them.
 
     Of n shingles in an order that all sets keep, these are the first ``n - ceil(like * n) + 1``. The order goes by counts over all ``sets``, in a fixed number of
     counters that shingles share by hash: very frequent shingles come last, and which come first changes no result.
@@ -245,57 +300,57 @@ def prefixes(sets: DataFrame, held: DataFrame, like: float) -> DataFrame:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = np.frombuffer(raw.as_buffer(), np.uint64)
                 first = np.lexsort((hashes, shared.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]))[: len(hashes) - math.ceil(like * len(hashes) - 1e-9) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array([key] * len(first), pa.int64())], ["bucket", "set"])
+                longs = [hashes[first].view(np.int64), np.full(len(first), key), np.full(len(first), len(hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], ["bucket", "set", "n"])
 
-    return own.select("set", "hashes").mapInArrow(run, "bucket long, set long")
+    return own.select("set", "hashes").mapInArrow(run, "bucket long, set long, n long")
 
 
-def links(docs: DataFrame, prints: DataFrame, like: float = LIKE, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def links(docs: DataFrame, prints: DataFrame, like: float = LIKE, radius: int | None = None) -> DataFrame:
     """Pairs (a, b) of sets of likeness ``like`` or more that join all sets such pairs join.
 
-    Each set is held against the least of every band bucket it lies in; that alone settles groups of near copies however large. Buckets
-    that this leaves with sets of different components are then compared within, if they hold at most FEW sets; the sets of
-    larger ones are dealt out anew by their rarest shingles, which leaves apart what only shares a frame, and treated likewise; what is large
-    even then is compared in blocks. All candidates pass the sieve of signatures, and the whole sets decide.
+    Sets meet in the buckets of their bands; buckets of the same sets are one. The sets of a bucket of at most FEW are compared in one place. In a larger
+    one each is held against the least, which settles groups of near copies. Where that leaves several components, its sets are dealt out
+    anew by their rarest shingles, which parts what only shares a frame; the new buckets are treated likewise, and in those that are large even
+    then, the sets outside the main component meet all others block by block. Sizes and signatures, and fingerprints within ``radius`` bits if
+    that is given, sift what is compared; the whole sets decide.
     """
-    marked = cut(prints.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks")))
-    bands = marked.select("set", F.explode(F.expr(f"slice(marks, {WIDTH + 1}, {band_count(like)})")).alias("bucket"))
-    shared = cut(starred(bands))
+    marked = cut(prints.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    shared = cut(different(marked.select("set", "n", F.explode("bands").alias("bucket"))))
     held = cut(hash_sets(docs, marked.select("set", "row"), shared))
-    sieve = marked.select("set", "n", F.expr(f"slice(marks, 1, {WIDTH})").alias("marks"), "fp")
-
-    def stars(met: DataFrame, edges: DataFrame | None) -> DataFrame:
-        """``edges`` and those between heads and the sets of their buckets: first with one head a set, then with those that this leaves apart."""
-        pairs = cut(sifted(met.filter("set != head").select(F.col("head").alias("a"), F.col("set").alias("b")), sieve, like, near))
-        one = cut(alike(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), held, like))
-        edges = one if edges is None else edges.unionAll(one)
-        roots = cut(components(edges))
-        x, y = (roots.select(F.col("node").alias(f"_{s}"), F.col("root").alias(f"_root_{s}")) for s in ("a", "b"))
-        open_ = pairs.join(x.hint("merge"), F.col("a") == F.col("_a"), "left").join(y.hint("merge"), F.col("b") == F.col("_b"), "left")
-        open_ = open_.filter(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select("a", "b")
-        return edges.unionAll(cut(alike(open_, held, like)))
-
-    def inside(found: DataFrame) -> DataFrame:
-        return cut(alike(sifted(found, sieve, like, near), held, like))
-
-    edges = stars(shared, None)
-    open_ = apart(shared.select("bucket", "set"), edges)
-    edges = edges.unionAll(inside(within_buckets(open_.filter(F.col("size") <= FEW), sieve, like)))
-    many = open_.filter(F.col("size") > FEW)
-    if many.isEmpty():
+    small = (F.col("size") <= FEW) & (F.col("total") <= WEIGHT)
+
+    def stars(buckets: DataFrame, held: DataFrame) -> DataFrame:
+        pairs = buckets.filter("set != head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+        return cut(alike(sifted(pairs, held, like, radius), held, like))
+
+    edges = cut(within_buckets(shared.filter(small).withColumn("root", F.col("set")), held, like, radius))
+    large = shared.filter(~small)
+    if large.isEmpty():
+        return edges
+    # what follows concerns the sets of large buckets alone; the others' hashes move no more
+    few = large.select(F.col("set").alias("_set")).distinct()
+    held = cut(held.join(few.hint("merge"), F.col("set") == F.col("_set"), "left_semi"))
+    edges = edges.unionAll(stars(large, held))
+    roots = components(edges)
+    open_ = apart(large, roots)
+    if open_.isEmpty():
+        return edges
+    finer = apart(cut(prefixes(open_.select("set"), held, like)), roots)
+    rooted = finer.select(F.col("set").alias("_set"), "root").distinct()
+    finer = cut(different(finer.drop("root")).join(cut(rooted).hint("merge"), F.col("set") == F.col("_set")).drop("_set"))
+    edges = edges.unionAll(cut(within_buckets(finer.filter(small), held, like, radius)))
+    large = finer.filter(~small)
+    if large.isEmpty():
         return edges
-    finer = cut(prefixes(many.select("set"), held, like))
-    finer = apart(finer, edges).select("bucket", "set")
-    edges = stars(cut(starred(finer)), edges)
-    open_ = apart(finer, edges)
-    edges = edges.unionAll(inside(within_buckets(open_.filter(F.col("size") <= FEW), sieve, like)))
-    many = open_.filter(F.col("size") > FEW)
-    return edges if many.isEmpty() else edges.unionAll(inside(against_rest(many, sieve, like)))
+    edges = edges.unionAll(stars(large, held))
+    open_ = apart(large.drop("root"), components(edges))
+    return edges if open_.isEmpty() else edges.unionAll(cut(against_rest(open_, held, like, radius)))
 
 
-def placed(docs: DataFrame, prints: DataFrame, like: float, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def placed(docs: DataFrame, prints: DataFrame, like: float, radius: int | None = None) -> DataFrame:
     """(doc_id, text_hash, n, component_id, component) for each row of ``prints``; rows of equal sets are one."""
-    roots = cut(components(links(docs, prints, like, near)))
+    roots = components(links(docs, prints, like, radius))
     distinct = prints.groupBy("set").agg(F.min("doc_id").alias("least"))
     with_roots = cut(distinct.join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root")))
     names = with_roots.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("_root"), "component_id")

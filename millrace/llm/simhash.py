@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
     """
     prints = cut(fingerprints(docs, shingle, seed))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(linked(distinct.select("fp"), bits, zero_groups(distinct.count(), bits))))
+    roots = components(linked(distinct.select("fp"), bits, zero_groups(distinct.count(), bits)))
     placed = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names.hint("merge"), "root").select(F.col("fp").alias("_fp"), "component_id")

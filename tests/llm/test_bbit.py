@@ -64,7 +64,7 @@ def test_links_about_the_threshold_match_brute_force(spark, monkeypatch, few):
     assert 20 < len({c for _, _, c in want}) < len(rows) - 20
 
 
-def test_pages_of_one_frame_are_no_candidates_of_each_other(spark):
+def test_pages_of_one_frame_are_no_candidates_of_each_other(spark, monkeypatch):
     draw = random.Random(3)
     shared = [f"f{i}" for i in range(150)]
 
@@ -76,19 +76,19 @@ def test_pages_of_one_frame_are_no_candidates_of_each_other(spark):
 
     def candidates(n):
         docs = spark.createDataFrame([(i, page(i)) for i in range(n)], "doc_id long, text string")
-        calls, plain = [], bbit.alike
+        seen = spark.sparkContext.accumulator(0)
+        plain = bbit.overlap
 
-        def counted(pairs, held, like):
-            pairs = bbit.cut(pairs)
-            calls.append(pairs.count())
-            return plain(pairs, held, like)
+        def counted(x, y, like):
+            seen.add(1)
+            return plain(x, y, like)
 
-        bbit.alike = counted
+        monkeypatch.setattr(bbit, "overlap", counted)
         try:
             assert bbit.near_duplicates(docs, 0.8).filter("not kept").count() == 0
         finally:
-            bbit.alike = plain
-        return sum(calls)
+            monkeypatch.setattr(bbit, "overlap", plain)
+        return seen.value
 
     small, large = candidates(500), candidates(2000)
     assert large < 100_000 and large < 8 * max(small, 500), (small, large)
@@ -113,7 +113,7 @@ def test_estimate_is_corrected_for_chance():
         for _ in range(60):
             n, both = 300, int(2 * 300 * like / (1 + like))
             all_ = draw.integers(0, 1 << 63, 2 * n - both, np.uint64) * np.uint64(2)
-            x, y = (np.array(bbit.marks(np.unique(s), 4)[: bbit.WIDTH]).view(np.uint64) for s in (all_[:n], all_[n - both :]))
+            x, y = (np.array(bbit.signature(np.unique(s))).view(np.uint64) for s in (all_[:n], all_[n - both :]))
             d = x ^ y
             same = bbit.MINIMA - int(np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(bbit.LOW)).sum())
             found.append((same / bbit.MINIMA - 0.25) / 0.75)
