@@ -9,15 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.common import col, cut, discard, documents, numbered, shared_folder, slices, stored, unused
 from millrace.llm.graph import components
 
-#: Leading tokens that lead to a leaf, and share of equal tokens, place by place, that makes two of its lines one template.
+#: Leading tokens that lead to a leaf, and share of the tokens after them that a template holds fixed at least.
 DEPTH, SIMILAR = 3, 0.8
+#: Bytes of a token's hash in a signature, which holds the tokens after the leading ones.
+WIDE = 3
 #: Documents in which a template recurs before it is dropped; those that suffice for lines of LONG tokens or more.
 MIN_DOCS, LONG, MIN_LONG = 3, 50, 2
 #: Lines that are held against each other in one place, and their signatures' bytes; more are dealt out first.
@@ -59,13 +61,19 @@ def line_key(raw: bytes) -> int:
     return signed(xxh64_intdigest(raw, 1))
 
 
+def codes(signature: bytes) -> np.ndarray:
+    """A number for each token of a signature."""
+    parts = np.frombuffer(signature, np.uint8).reshape(-1, WIDE).astype(np.uint32)
+    return parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+
+
 def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, leaf, line, signature): a row for each different generalised line of each row, without signature; blank lines have none.
+    """(doc_id, leaf, line, nth, signature): a row for each different generalised line of each row, without signature; blank lines have none.
 
-    A leaf is the token count and the first ``depth`` tokens. Once a task, or little more often, each line gives a further
-    row that has its signature, two bytes a token, and counts for no document.
+    A leaf is the token count and the first ``depth`` tokens; nth is the line's first place in its text. Once a task, or little more often, each line gives a further
+    row that has its signature, three bytes for each token after the leading ones, and counts for no document.
     """
-    names = ["doc_id", "leaf", "line", "signature"]
+    names = ["doc_id", "leaf", "line", "nth", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -73,29 +81,32 @@ def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         marks, given = Marks(), set()
         for batch in batches:
             for part in slices(batch, 1):
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if not text:
                         continue
-                    found = {}
-                    for line in set(text.split("\n")):
+                    first, found = {}, {}
+                    for nth, line in enumerate(text.split("\n")):
+                        first.setdefault(line, nth)
+                    for line, nth in first.items():
                         if raw := marks_of(line, marks):
-                            found[line_key(raw)] = raw
-                    for key, raw in found.items():
+                            found.setdefault(line_key(raw), (raw, nth))
+                    for key, (raw, nth) in found.items():
                         leaf = signed(xxh64_intdigest(raw[: 8 * depth], len(raw)))
-                        out[0].append(doc), out[1].append(leaf), out[2].append(key), out[3].append(None)
+                        out[0].append(doc), out[1].append(leaf), out[2].append(key), out[3].append(nth), out[4].append(None)
                         if key not in given:
                             if len(given) >= GIVEN:
                                 given.clear()
                             given.add(key)
-                            out[0].append(None), out[1].append(leaf), out[2].append(key), out[3].append(np.frombuffer(raw, "<u2")[::4].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.binary())], names)
+                            rest = np.frombuffer(raw, np.uint8).reshape(-1, 8)[depth:, :WIDE].tobytes()
+                            out[0].append(None), out[1].append(leaf), out[2].append(key), out[3].append(None), out[4].append(rest)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long, nth long, signature binary")
 
 
 def allowed(size: int, similar: float) -> int:
-    """Tokens of ``size`` in which like lines may differ."""
+    """Tokens, of ``size`` after the leading ones, in which like lines may differ."""
     return size - math.ceil(similar * size - 1e-9)
 
 
@@ -103,8 +114,8 @@ def met(lines: list[dict], similar: float) -> list[tuple[int, int]]:
     """Links (a, b) that join what all like pairs of a few lines (line, signature) of one leaf join; a is the lesser."""
     rows = sorted(lines, key=lambda r: r["line"])
     size = len(rows[0]["signature"])
-    found = np.array([np.frombuffer(r["signature"], "<u2") if len(r["signature"]) == size else np.zeros(size // 2, np.uint16) for r in rows])
-    root, least = list(range(len(rows))), size // 2 - allowed(size // 2, similar)
+    found = np.array([codes(r["signature"]) if len(r["signature"]) == size else np.zeros(size // WIDE, np.uint32) for r in rows])
+    root, least = list(range(len(rows))), size // WIDE - allowed(size // WIDE, similar)
     for i in range(len(rows) - 1):
         for j in (np.flatnonzero((found[i + 1 :] == found[i]).sum(1) >= least) + i + 1).tolist():
             a, b = i, j
@@ -135,9 +146,9 @@ def against_head(many: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             like, places = [], []
             for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
-                at = np.flatnonzero(np.frombuffer(x, "<u2") != np.frombuffer(y, "<u2")) if len(x) == len(y) else np.arange(len(x) // 2)
+                at = np.flatnonzero(codes(x) != codes(y)) if len(x) == len(y) else np.arange(len(x) // WIDE)
                 places.append(at.tolist())
-                like.append(len(x) == len(y) and len(at) <= allowed(len(x) // 2, similar))
+                like.append(len(x) == len(y) and len(at) <= allowed(len(x) // WIDE, similar))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(like, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["key", "line", "n", "signature", "head", "like", "places"])
 
     held = many.join(heads.hint("merge"), F.col("key") == F.col("_key")).select("key", "line", "n", "signature", "head", "_top")
@@ -155,11 +166,11 @@ def against_rest(lines: DataFrame, rest: DataFrame, similar: float) -> DataFrame
         if rows:
             size = len(rows[0]["signature"])
             whole = [r for r in rows if len(r["signature"]) == size]
-            own, roots = np.array([np.frombuffer(r["signature"], "<u2") for r in whole]), np.array([r["root"] for r in whole], np.int64)
-            least = size // 2 - allowed(size // 2, similar)
+            own, roots = np.array([codes(r["signature"]) for r in whole]), np.array([r["root"] for r in whole], np.int64)
+            least = size // WIDE - allowed(size // WIDE, similar)
             for line, signature in zip(asked.column("_line").to_pylist(), asked.column("_signature").to_pylist()):
                 if len(signature) == size:
-                    like = np.unique(roots[(own == np.frombuffer(signature, "<u2")).sum(1) >= least])
+                    like = np.unique(roots[(own == codes(signature)).sum(1) >= least])
                     found |= {(min(line, r), max(line, r)) for r in like.tolist() if r != line}
         return pa.table([pa.array([f[i] for f in sorted(found)], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -183,8 +194,8 @@ def dealt(open_: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 key, signature, varying = (batch.column(c)[i].as_py() for c in (0, 3, 5))
-                blocks = allowed(len(signature) // 2, similar) + 1
-                places, own = np.array(sorted(varying), np.int64), np.frombuffer(signature, "<u2")
+                blocks = allowed(len(signature) // WIDE, similar) + 1
+                places, own = np.array(sorted(varying), np.int64), codes(signature)
                 if len(places) >= blocks:
                     parts = [signed(xxh64_intdigest(own[p].tobytes() + b"%d %d" % (key, n), 3)) for n, p in enumerate(np.array_split(places, blocks))]
                     same = batch.take(pa.array([i] * blocks))
@@ -216,7 +227,7 @@ def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER)
         held = cut(against_head(sized.filter("not _few").select("key", "line", "n", "signature"), similar))
         discard(lines.sparkSession, home)
         out = out.unionAll(held.filter("like and line != head").select(F.least("head", "line").alias("a"), F.greatest("head", "line").alias("b")))
-        roots = cut(components(out))
+        roots = components(out)
         placed = cut(held.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("key", "line", "n", "signature", "head", F.coalesce("root", "line").alias("root")))
         several = placed.groupBy("key").agg(F.count("*").alias("_n"), F.max(F.when(F.col("line") == F.col("head"), F.col("root"))).alias("_main"), F.min("root").alias("_low"), F.max("root").alias("_high"))
         several = cut(several.filter("_low != _high").select(F.col("key").alias("_key"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts"), "_main"))
@@ -235,29 +246,139 @@ def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER)
         now = dealt(placed.join(wide.hint("merge"), F.col("key") == F.col("_key")), similar)
 
 
-def needed(signature: Column, min_docs: int, long: int, min_long: int) -> Column:
+def needed(signature: Column, depth: int, min_docs: int, long: int, min_long: int) -> Column:
     """Documents in which a line must recur."""
-    return F.when(F.octet_length(signature) >= 2 * long, min_long).otherwise(min_docs)
+    return F.when(F.octet_length(signature) >= WIDE * (long - depth), min_long).otherwise(min_docs)
+
+
+#: What the lines of a component are ordered by: the most recurrent come first, then those that come first in the first document.
+ORDER = ("n", "doc", "nth", "line")
+
+
+def ordered(rows: list[dict]) -> list[dict]:
+    return sorted(rows, key=lambda r: (-r["n"], r["doc"] is None, r["doc"] or 0, r["nth"] or 0, r["line"]))
+
+
+def grown(rows: list[dict], similar: float) -> list[tuple[dict, dict, np.ndarray | None]]:
+    """(row, leader, fields) for the lines of a component, in order; fields, for leaders alone, say at which places their templates vary in the end.
+
+    A line joins the first template in which no more tokens than allowed are fields, with those in which it differs from the leader; these become fields
+    too. So fields never count as equal, and a template always holds its share of tokens fixed. A line that joins none leads a new one.
+    """
+    size = len(rows[0]["signature"])
+    most, k, leaders = allowed(size // WIDE, similar), 0, []
+    heads, fields = np.empty((len(rows), size // WIDE), np.uint32), np.zeros((len(rows), size // WIDE), bool)
+    out = []
+    for r in ordered(rows):
+        if len(r["signature"]) != size:  # of another leaf of the same hash
+            out.append((r, r, None))
+            continue
+        own = codes(r["signature"])
+        vary = (heads[:k] != own) | fields[:k]
+        at = np.flatnonzero(vary.sum(1) <= most)
+        if len(at):
+            fields[at[0]] = vary[at[0]]
+            out.append((r, leaders[at[0]], None))
+        else:
+            heads[k], k = own, k + 1
+            leaders.append(r)
+            out.append((r, r, fields[k - 1]))
+    return out
+
+
+GROWN = "root long, line long, template long, seq long, signature binary, fields binary"
+
+
+def growing(groups: DataFrame, similar: float) -> DataFrame:
+    """GROWN rows for ``groups`` (root, lines), a component each: seq, signature and fields are those of leaders, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, group in zip(batch.column(0), batch.column(1)):
+                found = grown(group.as_py(), similar)
+                columns = [pa.array([root.as_py()] * len(found), pa.int64()), pa.array([r["line"] for r, _, _ in found], pa.int64()), pa.array([t["line"] for _, t, _ in found], pa.int64())]
+                columns += [pa.array([None if f is None else i for i, (_, _, f) in enumerate(found)], pa.int64()), pa.array([None if f is None else r["signature"] for r, _, f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([None if f is None else f.tobytes() for _, _, f in found], pa.binary())], [c.split()[0] for c in GROWN.split(", ")])
 
+    return groups.mapInArrow(run, GROWN)
 
-def templates(rows: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
+
+def joining(rest: DataFrame, leaders: DataFrame, similar: float) -> DataFrame:
+    """(line, template) of ``rest`` (root, line, signature, parts, ...), template null where no leader's template takes the line as it is."""
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, known = block.to_pylist(), sorted(asked.to_pylist(), key=lambda r: r["_seq"])
+        heads, fields = np.array([codes(r["_signature"]) for r in known]), np.array([np.frombuffer(r["_fields"], bool) for r in known])
+        found = []
+        for r in rows:
+            own = codes(r["signature"])
+            fits = known and len(own) == heads.shape[1]
+            at = np.flatnonzero(((heads != own) | fields).sum(1) <= allowed(len(own), similar)) if fits else ()
+            found.append(known[at[0]]["_template"] if len(at) else None)
+        return pa.table([pa.array([r["line"] for r in rows], pa.int64()), pa.array(found, pa.int64())], names=["line", "template"])
+
+    left = rest.select("root", F.pmod(F.xxhash64("line"), "parts").cast("int").alias("part"), "line", "signature")
+    sizes = rest.select(F.col("root").alias("_of"), F.col("parts").alias("_parts")).distinct()
+    right = leaders.join(sizes.hint("merge"), F.col("root") == F.col("_of")).select(F.col("root").alias("_root"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), *[F.col(c).alias(f"_{c}") for c in ("seq", "template", "signature", "fields")])
+    return left.groupBy("root", "part").cogroup(right.groupBy("_root", "_part")).applyInArrow(run, "line long, template long")
+
+
+def split(placed: DataFrame, similar: float, together: int) -> DataFrame:
+    """(line, template) for ``placed`` (root, line, n, doc, nth, signature), the lines of components, by the templates that grow in each.
+
+    Components of at most ``together`` lines grow theirs in one place. In a larger one the first ``together`` lines do; all others of it that one of these templates
+    takes as it is join it, block by block, and those left go on alike, until none is left. Outcomes depend on no order of rows or partitions.
+    """
+    spark, home, turn = placed.sparkSession, f"{shared_folder(placed.sparkSession)}/split-{uuid.uuid4().hex}", 0
+    line = F.struct("line", "n", "doc", "nth", "signature")
+    sizes = cut(placed.groupBy("root").agg(F.count("*").alias("_n"), F.sum(F.octet_length("signature")).alias("_bytes")).select(F.col("root").alias("_root"), ((F.col("_n") <= together) & (F.col("_bytes") <= TOGETHER_BYTES)).alias("_few")))
+    sized = placed.join(sizes.hint("merge"), F.col("root") == F.col("_root"))
+    out = cut(growing(sized.filter("_few").groupBy("root").agg(F.collect_list(line).alias("lines")), similar)).select("line", "template")
+    if sizes.filter("not _few").isEmpty():
+        return out
+    now = stored(sized.filter("not _few").select("root", "line", "n", "doc", "nth", "signature"), f"{home}/0")
+    while not now.isEmpty():
+        order = Window.partitionBy("root").orderBy(F.desc("n"), F.col("doc").asc_nulls_last(), F.col("nth").asc_nulls_first(), "line")
+        most = F.least(F.lit(together), F.greatest(F.lit(1), F.lit(TOGETHER_BYTES) / F.greatest(F.octet_length("signature"), F.lit(1)))).cast("int")
+        first = now.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= together).filter(F.col("_nth") <= most)
+        made = stored(growing(first.groupBy("root").agg(F.collect_list(line).alias("lines")), similar), f"{home}/{turn}-made")
+        out = out.unionAll(made.select("line", "template"))
+        rest = now.join(made.select(F.col("line").alias("_line")).hint("merge"), F.col("line") == F.col("_line"), "left_anti")
+        counts = stored(rest.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).withColumnRenamed("root", "_root"), f"{home}/{turn}-parts")
+        rest = stored(rest.join(counts.hint("merge"), F.col("root") == F.col("_root")).drop("_root"), f"{home}/{turn}-rest")
+        told = stored(joining(rest, made.filter("seq is not null"), similar), f"{home}/{turn}-told")
+        out = out.unionAll(told.filter("template is not null"))
+        left = told.filter("template is null").select(F.col("line").alias("_line"))
+        turn += 1
+        now = stored(rest.join(left.hint("merge"), F.col("line") == F.col("_line"), "left_semi").select("root", "line", "n", "doc", "nth", "signature"), f"{home}/{turn}")
+    out = cut(out)
+    discard(spark, home)
+    return out
+
+
+def templates(rows: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
     """(line, template, need) for the lines of ``rows`` whose template can recur in as many documents as it must.
 
-    Two lines of a leaf are alike if at least ``similar`` of their tokens are equal, place by place. Lines that like
-    ones join are one template: what varies between them is generalised. Its name is that of its least line.
-    The outcome depends on no order. Signatures hold 16 bits of each token's hash, so that two
-    tokens that differ count as equal with odds of 1 in 65,536.
+    Lines of a leaf that can share a template at all are found first, as components of likeness; within these templates grow (``grown``). A template is
+    named by its leader. Signatures hold 24 bits of each token's hash, so that two tokens that differ count as equal with odds of 1 in 17 million.
     """
     # the binary first() aggregates by sorting; it sees a line's signature once a task
-    lines = cut(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature")))
-    need = needed(F.col("signature"), min_docs, long, min_long)
+    place = F.min(F.when(F.col("doc_id").isNotNull() & F.col("signature").isNull(), F.struct("doc_id", "nth")))
+    lines = cut(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature"), place.alias("place")))
+    need = needed(F.col("signature"), depth, min_docs, long, min_long)
     busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n"), F.count("*").alias("_lines"), F.min(need).alias("_need")).filter("_n >= _need")
     busy = cut(busy.select(F.col("leaf").alias("_leaf"), "_lines"))
-    left = lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", need.alias("need"), "_lines")
+    left = lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", "place", need.alias("need"), "_lines")
     left = cut(left)
-    roots = cut(components(links(left.filter("_lines > 1"), similar, together)))
-    placed = left.join(roots.hint("merge"), F.col("line") == F.col("node"), "left").select("line", "n", "need", F.coalesce("root", "line").alias("template"))
-    placed = cut(placed)
+    roots = components(links(left.filter("_lines > 1"), similar, together))
+    held = left.join(roots.hint("merge"), F.col("line") == F.col("node"), "left")
+    held = cut(held.select("line", "n", "need", "signature", F.col("place.doc_id").alias("doc"), F.col("place.nth").alias("nth"), "root"))
+    # only components that recur as a whole can hold a template that does
+    several = held.filter("root is not null").groupBy("root").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need")
+    several = cut(held.join(cut(several.select(F.col("root").alias("_root"))).hint("merge"), F.col("root") == F.col("_root"), "left_semi"))
+    named = split(several, similar, together).select(F.col("line").alias("_line"), "template")
+    placed = several.join(named.hint("merge"), F.col("line") == F.col("_line")).select("line", "n", "need", "template")
+    placed = cut(placed.unionAll(held.filter("root is null").select("line", "n", "need", F.col("line").alias("template"))))
     # written out, so that both sides of the join are plain shuffles, and a template of very many lines can be split
     often = cut(placed.groupBy("template").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need").select(F.col("template").alias("_t")))
     return cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template", "need"))
@@ -270,7 +391,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     from all but the one with the smallest doc_id, so its content is kept once.
     """
     rows = cut(line_rows(docs, depth))
-    names = templates(rows, similar, min_docs, long, min_long, together).select(F.col("line").alias("_line"), "template", "need")
+    names = templates(rows, depth, similar, min_docs, long, min_long, together).select(F.col("line").alias("_line"), "template", "need")
     seen = rows.filter("signature is null and doc_id is not null").select("doc_id", "line")
     held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template", "need"))
     over = held.select("template", "need", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"), F.min("need").alias("_need"))
@@ -322,16 +443,20 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: DuckDB SQL for ``op8_lines``, where no doc_id is null or repeated: all lines of a leaf pair by pair, and what their links reach.
+#: DuckDB SQL for ``op8_lines``, where no doc_id is null or repeated: each leaf's lines, in order, are folded into its templates.
 OP8_SQL = r"""
-WITH RECURSIVE parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
+WITH parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
 lines AS (SELECT doc_id, nth, part, list_transform(regexp_extract_all(part, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'),
   lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS line FROM parts),
-kinds AS (SELECT line, len(line) AS size, line[1:3] AS start FROM lines WHERE len(line) > 0 GROUP BY line),
-pairs AS (SELECT a.line AS x, b.line AS y FROM kinds a JOIN kinds b ON a.size = b.size AND a.start = b.start AND a.line <> b.line
-  WHERE len(list_filter(list_zip(a.line, b.line), lambda z: z[1] = z[2])) >= ceil(0.8 * a.size - 1e-9)),
-reach AS (SELECT line, line AS other FROM kinds UNION SELECT reach.line, y FROM reach JOIN pairs ON other = x),
-named AS (SELECT line, min(other) AS template FROM reach GROUP BY line),
+kinds AS (SELECT line, len(line) AS size, line[1:3] AS start, line[4:] AS rest, count(DISTINCT doc_id) AS n, min(doc_id * 10000000 + nth) AS place FROM lines WHERE len(line) > 0 GROUP BY line),
+leaves AS (SELECT list([{'rest': rest, 'fields': list_transform(rest, lambda t: false), 'members': [line]}] ORDER BY n DESC, place) AS held FROM kinds GROUP BY size, start),
+grown AS (SELECT list_reduce(held, lambda known, own: CASE
+  WHEN coalesce(list_position(list_transform(known, lambda e: len(list_filter(list_zip(e.rest, e.fields, own[1].rest), lambda z: z[2] OR z[1] <> z[3])) <= len(e.rest) - ceil(0.8 * len(e.rest) - 1e-9)), true), 0) = 0 THEN known || own
+  ELSE list_transform(known, lambda e, k: CASE
+    WHEN k = list_position(list_transform(known, lambda f: len(list_filter(list_zip(f.rest, f.fields, own[1].rest), lambda z: z[2] OR z[1] <> z[3])) <= len(f.rest) - ceil(0.8 * len(f.rest) - 1e-9)), true)
+    THEN {'rest': e.rest, 'fields': list_transform(list_zip(e.rest, e.fields, own[1].rest), lambda z: z[2] OR z[1] <> z[3]), 'members': e.members || own[1].members} ELSE e END) END) AS made FROM leaves),
+each AS (SELECT unnest(made) AS found FROM grown),
+named AS (SELECT found.members[1] AS template, unnest(found.members) AS line FROM each),
 often AS (SELECT template, min(doc_id) AS first_doc FROM lines JOIN named USING (line) GROUP BY template
   HAVING count(DISTINCT doc_id) >= CASE WHEN len(template) >= 50 THEN 2 ELSE 3 END),
 gone AS (SELECT line, first_doc FROM named JOIN often USING (template)),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -202,14 +203,24 @@ def test_substrings_of_odd_rows(spark, odd, none):
 # --- op8
 
 
-def templates_of(rows, min_docs=3):
-    """Lines kept of (doc_id, text) rows, by holding each line of a leaf against every other."""
+def templates_of(rows, min_docs=3, together=1024):
+    """Lines kept of (doc_id, text) rows: components of likeness by all pairs of a leaf, then templates grown line by line."""
     tokens = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.split())
     solid = lambda line: bool(line) and not line.isspace()
-    leaves, root = defaultdict(list), {}
-    for t in {tokens(x) for _, text in rows for x in (text or "").split("\n") if solid(x)}:
-        leaves[len(t), t[:3]].append(t)
-        root[t] = t
+    most = lambda t: len(t[3:]) - math.ceil(0.8 * len(t[3:]) - 1e-9)
+    leaves, root, n, place = defaultdict(list), {}, defaultdict(int), {}
+    for doc, text in rows:
+        held = {}
+        for nth, x in enumerate((text or "").split("\n")):
+            if solid(x):
+                held.setdefault(tokens(x), nth)
+        for t, nth in held.items():
+            if t not in root:
+                leaves[len(t), t[:3]].append(t)
+                root[t] = t
+            n[t] += 1
+            if doc is not None:
+                place[t] = min(place.get(t, (doc, nth)), (doc, nth))
 
     def find(t):
         while root[t] != t:
@@ -219,18 +230,43 @@ def templates_of(rows, min_docs=3):
     for found in leaves.values():
         for i, t in enumerate(found):
             for s in found[:i]:
-                if 10 * sum(a == b for a, b in zip(s, t)) >= 8 * len(t):
+                if sum(a != b for a, b in zip(s, t)) <= most(t):
                     root[find(t)] = find(s)
+    groups, template = defaultdict(list), {}
+    for t in root:
+        groups[find(t)].append(t)
+    for group in groups.values():
+        left = sorted(group, key=lambda t: (-n[t], t not in place, place.get(t)))
+        grown = []  # [leader, places that vary]
+        while left:
+            batch, left = left[:together], left[together:]
+            for t in batch:
+                for g in grown:
+                    vary = g[1] | {i for i, (a, b) in enumerate(zip(g[0], t)) if a != b}
+                    if len(vary) <= most(t):
+                        g[1], template[t] = vary, g[0]
+                        break
+                else:
+                    grown.append([t, set()])
+                    template[t] = t
+            rest = []
+            for t in left:
+                fits = [g[0] for g in grown if len(g[1] | {i for i, (a, b) in enumerate(zip(g[0], t)) if a != b}) <= most(t)]
+                if fits:
+                    template[t] = fits[0]
+                else:
+                    rest.append(t)
+            left, grown = rest, []  # all others have been held against these
     seen = defaultdict(set)
     for doc, text in rows:
         for x in (text or "").split("\n"):
             if solid(x) and doc is not None:
-                seen[find(tokens(x))].add(doc)
+                seen[template[tokens(x)]].add(doc)
 
     def drop(doc, x):
         if not solid(x) or doc is None:
             return False
-        docs = seen[find(tokens(x))]
+        docs = seen[template[tokens(x)]]
         return len(docs) >= (2 if len(x.split()) >= 50 else min_docs) and min(docs) != doc
 
     return sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if not drop(d, x))) for d, t in rows), key=repr)
