@@ -111,17 +111,19 @@ def pack_matrices(docs: DataFrame, ranks_path: str, pattern: str, width: int = W
 
         encode = rank_tokenizer(ranks_path, pattern)
         base, held, total = TaskContext.get().partitionId() << 40, [], 0
-        for batch in batches:
-            for part in slices(batch, 1, STEP):
-                for doc, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.frombuffer(raw, "<u4")
-                    held += [(doc, s, ids[s : s + width]) for s in range(0, len(ids), width)]
-                    total += len(ids)
-                if total >= GATHERED:
-                    out, base = matrices(held, base)
-                    yield out
-                    held, total = [], 0
-        encode.forget()
+        try:
+            for batch in batches:
+                for part in slices(batch, 1, STEP):
+                    for doc, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                        ids = np.frombuffer(raw, "<u4")
+                        held += [(doc, s, ids[s : s + width]) for s in range(0, len(ids), width)]
+                        total += len(ids)
+                    if total >= GATHERED:
+                        out, base = matrices(held, base)
+                        yield out
+                        held, total = [], 0
+        finally:
+            encode.forget()
         if held:
             yield matrices(held, base)[0]
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,22 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources import shared_folder as shared_folder
+
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges into which a hash deals the rows of one group, however large it is.
 BUCKETS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Only a local session, as in tests, may do without: it gets a temporary folder."""
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if home:
-        return home
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: its lineage ends here."""
     sc = df.sparkSession.sparkContext

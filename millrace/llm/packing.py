@@ -32,19 +32,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer_path)
-        for batch in batches:
-            for part in slices(batch, 1, STEP):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    ids += end
-                    for start in range(0, len(ids), 4 * width):
-                        piece = ids[start : start + 4 * width]
-                        for column, value in zip(out, (doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)):
-                            column.append(value)
-                arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())] * keep_ids
-                yield pa.RecordBatch.from_arrays(arrays, names)
-        encode.forget()
+        try:
+            for batch in batches:
+                for part in slices(batch, 1, STEP):
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    out: tuple[list, ...] = ([], [], [], [], [], [])
+                    for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
+                        ids += end
+                        for start in range(0, len(ids), 4 * width):
+                            piece = ids[start : start + 4 * width]
+                            for column, value in zip(out, (doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)):
+                                column.append(value)
+                    arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())] * keep_ids
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        finally:
+            encode.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
@@ -138,15 +140,15 @@ def pack(cut_up: DataFrame, width: int = WIDTH) -> DataFrame:
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS, keep_ids: bool = False) -> DataFrame:
     """Whole texts of ``docs`` packed into sequences of at most ``width`` ids, one row a piece.
 
     Null and empty texts give a piece that is the end id alone; repeated rows give
     repeated pieces; a text of any length is cut into pieces, which may lie in different sequences; an empty table gives
-    no rows; other columns are ignored. Ids are not carried: each piece has
-    their checksum, and ``pieces(..., keep_ids=True)`` has them.
+    no rows; other columns are ignored. Each piece has the checksum of its ids; with ``keep_ids``
+    the ids come along, as little-endian uint32 bytes.
     """
-    return pack(cut(pieces(docs, tokenizer_path, width, eos)), width)
+    return pack(cut(pieces(docs, tokenizer_path, width, eos, keep_ids)), width)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
