@@ -21,14 +21,21 @@ STEP = 512
 Pattern = tuple[tuple[int, int], ...]  # runs of (length, how often), longest first
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS, keep_ids: str | None = None) -> DataFrame:
     """Token pieces of every whole text (null: empty): doc_id, start, length, ids_crc32, doc_tokens.
 
-    A document's ids end with ``eos`` and are cut every ``width`` ids. With ``keep_ids`` the ids
-    come along, as little-endian uint32 bytes. Needs doc_id and text; ignores other columns.
+    A document's ids end with ``eos`` and are cut every ``width`` ids. With ``keep_ids``, "<u4" or "<u2", the ids
+    come along as bytes of that type; an id that it does not hold is an error. Needs doc_id and text; ignores other columns.
     """
+
+    def typed(piece: bytes) -> bytes:
+        ids = np.frombuffer(piece, "<u4")
+        if ids.max() > np.iinfo(keep_ids).max:
+            raise ValueError(f"id {ids.max()} does not fit {keep_ids}")
+        return ids.astype(keep_ids).tobytes()
+
     end = np.asarray([eos], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * bool(keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer_path)
@@ -41,9 +48,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int =
                         ids += end
                         for start in range(0, len(ids), 4 * width):
                             piece = ids[start : start + 4 * width]
-                            for column, value in zip(out, (doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)):
+                            for column, value in zip(out, (doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, typed(piece) if keep_ids else None)):
                                 column.append(value)
-                    arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())] * keep_ids
+                    arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())] * bool(keep_ids)
                     yield pa.RecordBatch.from_arrays(arrays, names)
         finally:
             encode.forget()
@@ -140,13 +147,13 @@ def pack(cut_up: DataFrame, width: int = WIDTH) -> DataFrame:
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, eos: int = EOS, keep_ids: str | None = None) -> DataFrame:
     """Whole texts of ``docs`` packed into sequences of at most ``width`` ids, one row a piece.
 
     Null and empty texts give a piece that is the end id alone; repeated rows give
     repeated pieces; a text of any length is cut into pieces, which may lie in different sequences; an empty table gives
     no rows; other columns are ignored. Each piece has the checksum of its ids; with ``keep_ids``
-    the ids come along, as little-endian uint32 bytes.
+    the ids come along, as bytes of that type ("<u4" or "<u2").
     """
     return pack(cut(pieces(docs, tokenizer_path, width, eos, keep_ids)), width)
 

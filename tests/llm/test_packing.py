@@ -135,3 +135,10 @@ def test_matrices_round_trip(small, odd, none, texts):
     rows = bins.pack_matrices(odd, RANKS, public_tokenizers.PATTERN).collect()
     assert sum(d == 1 for r in rows for d in r["doc_ids"]) == 2
     assert bins.pack_matrices(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_ids_come_along(small, odd):
+    for kind in ("<u2", "<u4"):
+        for r in packing.pack_documents(small.unionByName(odd.select(*small.columns)), WORDS, keep_ids=kind).collect():
+            ids = np.frombuffer(r["ids"], kind).astype("<u4")
+            assert len(ids) == r["length"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
