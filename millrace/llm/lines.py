@@ -372,7 +372,7 @@ def templates(rows: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     left = cut(left)
     roots = components(links(left.filter("_lines > 1"), similar, together))
     held = left.join(roots.hint("merge"), F.col("line") == F.col("node"), "left")
-    held = cut(held.select("line", "n", "need", "signature", F.col("place.doc_id").alias("doc"), F.col("place.nth").alias("nth"), "root"))
+    held = cut(held.select("line", "n", "need", F.when(F.col("root").isNotNull(), F.col("signature")).alias("signature"), F.col("place.doc_id").alias("doc"), F.col("place.nth").alias("nth"), "root"))
     # only components that recur as a whole can hold a template that does
     several = held.filter("root is not null").groupBy("root").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need")
     several = cut(held.join(cut(several.select(F.col("root").alias("_root"))).hint("merge"), F.col("root") == F.col("_root"), "left_semi"))
