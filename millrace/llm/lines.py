@@ -210,11 +210,14 @@ def links(lines: DataFrame, similar: float = SIMILAR, together: int = TOGETHER)
     Small groups are held pair by pair. In a larger group every line is held against the most recurrent. If that leaves few
     lines in other components, these are held against all, in blocks; if many, the lines are dealt out by blocks of the places where they differ, and the new groups, less those
     of a single component, taken likewise, until none is left. No pair is lost however large a leaf is, and no group's pairs are laid out.
+    ``lines`` is read more than once: give a written table.
     """
     home = f"{shared_folder(lines.sparkSession)}/links-{uuid.uuid4().hex}"
     now, out, turn = lines.select(F.col("leaf").alias("key"), "line", "n", "signature", F.col("line").alias("root")), None, 0
     while True:
-        now, turn = stored(now, f"{home}/{turn}"), turn + 1
+        if turn:
+            now = stored(now, f"{home}/{turn}")
+        turn += 1
         sizes = now.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.octet_length("signature")).alias("_bytes"), F.min("root").alias("_low"), F.max("root").alias("_high"))
         few = (F.col("_n") <= together) & (F.col("_bytes") <= TOGETHER_BYTES)
         sizes = cut(sizes.filter("_low != _high").select(F.col("key").alias("_key"), few.alias("_few")))
@@ -362,26 +365,31 @@ def templates(rows: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     Lines of a leaf that can share a template at all are found first, as components of likeness; within these templates grow (``grown``). A template is
     named by its leader. Signatures hold 24 bits of each token's hash, so that two tokens that differ count as equal with odds of 1 in 17 million.
     """
-    # the binary first() aggregates by sorting; it sees a line's signature once a task
+    spark, home = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/templates-{uuid.uuid4().hex}"
+    # the binary max() aggregates by sorting; it sees a line's signature once a task
     place = F.min(F.when(F.col("doc_id").isNotNull() & F.col("signature").isNull(), F.struct("doc_id", "nth")))
-    lines = cut(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature"), place.alias("place")))
+    lines = stored(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature"), place.alias("place")), f"{home}/lines")
     need = needed(F.col("signature"), depth, min_docs, long, min_long)
     busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n"), F.count("*").alias("_lines"), F.min(need).alias("_need")).filter("_n >= _need")
     busy = cut(busy.select(F.col("leaf").alias("_leaf"), "_lines"))
     left = lines.join(busy.hint("merge"), F.col("leaf") == F.col("_leaf")).select("leaf", "line", "n", "signature", "place", need.alias("need"), "_lines")
-    left = cut(left)
+    left = stored(left, f"{home}/left")
+    discard(spark, f"{home}/lines")
     roots = components(links(left.filter("_lines > 1"), similar, together))
     held = left.join(roots.hint("merge"), F.col("line") == F.col("node"), "left")
-    held = cut(held.select("line", "n", "need", F.when(F.col("root").isNotNull(), F.col("signature")).alias("signature"), F.col("place.doc_id").alias("doc"), F.col("place.nth").alias("nth"), "root"))
+    held = stored(held.select("line", "n", "need", F.when(F.col("root").isNotNull(), F.col("signature")).alias("signature"), F.col("place.doc_id").alias("doc"), F.col("place.nth").alias("nth"), "root"), f"{home}/held")
+    discard(spark, f"{home}/left")
     # only components that recur as a whole can hold a template that does
     several = held.filter("root is not null").groupBy("root").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need")
-    several = cut(held.join(cut(several.select(F.col("root").alias("_root"))).hint("merge"), F.col("root") == F.col("_root"), "left_semi"))
+    several = stored(held.join(cut(several.select(F.col("root").alias("_root"))).hint("merge"), F.col("root") == F.col("_root"), "left_semi"), f"{home}/several")
     named = split(several, similar, together).select(F.col("line").alias("_line"), "template")
     placed = several.join(named.hint("merge"), F.col("line") == F.col("_line")).select("line", "n", "need", "template")
-    placed = cut(placed.unionAll(held.filter("root is null").select("line", "n", "need", F.col("line").alias("template"))))
+    placed = stored(placed.unionAll(held.filter("root is null").select("line", "n", "need", F.col("line").alias("template"))), f"{home}/placed")
     # written out, so that both sides of the join are plain shuffles, and a template of very many lines can be split
     often = cut(placed.groupBy("template").agg(F.sum("n").alias("_n"), F.min("need").alias("_need")).filter("_n >= _need").select(F.col("template").alias("_t")))
-    return cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template", "need"))
+    out = cut(placed.join(often.hint("merge"), F.col("template") == F.col("_t"), "left_semi").select("line", "template", "need"))
+    discard(spark, home)
+    return out
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, long: int = LONG, min_long: int = MIN_LONG, together: int = TOGETHER) -> DataFrame:
@@ -390,10 +398,12 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     A template in at least ``min_docs`` different documents, or ``min_long`` if its lines have ``long`` tokens, is dropped
     from all but the one with the smallest doc_id, so its content is kept once.
     """
-    rows = cut(line_rows(docs, depth))
+    spark, home = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/lines-{uuid.uuid4().hex}"
+    rows = stored(line_rows(docs, depth), home)
     names = templates(rows, depth, similar, min_docs, long, min_long, together).select(F.col("line").alias("_line"), "template", "need")
     seen = rows.filter("signature is null and doc_id is not null").select("doc_id", "line")
     held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template", "need"))
+    discard(spark, home)
     over = held.select("template", "need", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"), F.min("need").alias("_need"))
     over = cut(over.filter("_n >= _need").select(F.col("template").alias("_t"), "_first"))
     gone = held.join(over.hint("merge"), (F.col("template") == F.col("_t")) & (F.col("doc_id") != F.col("_first")))
