@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -68,10 +69,10 @@ def codes(signature: bytes) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, leaf, line, nth, signature): a row for each different generalised line of each row, without signature; blank lines have none.
+    """(doc_id, leaf, line, nth, signature): a row for each different generalised line of each row; blank lines have none.
 
-    A leaf is the token count and the first ``depth`` tokens; nth is the line's first place in its text. Once a task, or little more often, each line gives a further
-    row that has its signature, three bytes for each token after the leading ones, and counts for no document.
+    A leaf is the token count and the first ``depth`` tokens; nth is the line's first place in its text. Of the rows of a line, one a task, or little more, has
+    its signature, three bytes for each token after the leading ones; it is null in the others.
     """
     names = ["doc_id", "leaf", "line", "nth", "signature"]
 
@@ -93,13 +94,13 @@ def line_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                             found.setdefault(line_key(raw), (raw, nth))
                     for key, (raw, nth) in found.items():
                         leaf = signed(xxh64_intdigest(raw[: 8 * depth], len(raw)))
-                        out[0].append(doc), out[1].append(leaf), out[2].append(key), out[3].append(nth), out[4].append(None)
+                        rest = None
                         if key not in given:
                             if len(given) >= GIVEN:
                                 given.clear()
                             given.add(key)
                             rest = np.frombuffer(raw, np.uint8).reshape(-1, 8)[depth:, :WIDE].tobytes()
-                            out[0].append(None), out[1].append(leaf), out[2].append(key), out[3].append(None), out[4].append(rest)
+                        out[0].append(doc), out[1].append(leaf), out[2].append(key), out[3].append(nth), out[4].append(rest)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, leaf long, line long, nth long, signature binary")
@@ -367,8 +368,8 @@ def templates(rows: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     """
     spark, home = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/templates-{uuid.uuid4().hex}"
     # the binary max() aggregates by sorting; it sees a line's signature once a task
-    place = F.min(F.when(F.col("doc_id").isNotNull() & F.col("signature").isNull(), F.struct("doc_id", "nth")))
-    lines = stored(rows.groupBy("leaf", "line").agg(F.sum(F.col("signature").isNull().cast("long")).alias("n"), F.max("signature").alias("signature"), place.alias("place")), f"{home}/lines")
+    place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "nth")))
+    lines = stored(rows.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.max("signature").alias("signature"), place.alias("place")), f"{home}/lines")
     need = needed(F.col("signature"), depth, min_docs, long, min_long)
     busy = lines.groupBy("leaf").agg(F.sum("n").alias("_n"), F.count("*").alias("_lines"), F.min(need).alias("_need")).filter("_n >= _need")
     busy = cut(busy.select(F.col("leaf").alias("_leaf"), "_lines"))
@@ -401,7 +402,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min
     spark, home = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/lines-{uuid.uuid4().hex}"
     rows = stored(line_rows(docs, depth), home)
     names = templates(rows, depth, similar, min_docs, long, min_long, together).select(F.col("line").alias("_line"), "template", "need")
-    seen = rows.filter("signature is null and doc_id is not null").select("doc_id", "line")
+    seen = rows.filter("doc_id is not null").select("doc_id", "line")
     held = cut(seen.join(names.hint("merge"), F.col("line") == F.col("_line")).select("doc_id", "line", "template", "need"))
     discard(spark, home)
     over = held.select("template", "need", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"), F.min("need").alias("_need"))
@@ -427,19 +428,21 @@ def drop_recurring(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR
         marks = Marks()
         for batch in batches:
             for part in slices(batch, at_text):
-                texts, total, lost = part.column(at_text).to_pylist(), [], []
-                for i, (text, lines) in enumerate(zip(texts, part.column(len(kept)).to_pylist())):
-                    total.append(0 if text is None else text.count("\n") + 1)
-                    lost.append(0)
-                    if lines and text:
+                texts, changed, lost = part.column(at_text), [], [0] * part.num_rows
+                total = pc.fill_null(pc.add(pc.cast(pc.count_substring(texts, "\n"), pa.int64()), 1), 0)
+                for i, lines in enumerate(part.column(len(kept)).to_pylist()):
+                    if lines and (text := texts[i].as_py()):
                         off = set(lines)
                         parts = text.split("\n")
                         left = [p for p in parts if not (raw := marks_of(p, marks)) or line_key(raw) not in off]
-                        lost[-1] = len(parts) - len(left)
-                        texts[i] = "\n".join(left)
+                        lost[i] = len(parts) - len(left)
+                        if lost[i]:
+                            changed.append((i, "\n".join(left)))
                 columns = list(part.columns[: len(kept)])
-                columns[at_text] = pa.array(texts, columns[at_text].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names)
+                if changed:  # all other texts pass as they are, never decoded
+                    known = dict(changed)
+                    columns[at_text] = pc.replace_with_mask(texts, pa.array([i in known for i in range(part.num_rows)]), pa.array(list(known.values()), texts.type))
+                yield pa.RecordBatch.from_arrays([*columns, total, pa.array(lost, pa.int64())], names)
 
     joined = plain.join(gone.hint("merge"), F.col("doc_id") == F.col(doc), "left").select(*map(col, kept), gone_lines)
     safe = numbered(joined)
