@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.moving import moving_sums as moving_sums
+from millrace.operators.ranges import range_counts as range_counts
 from millrace.operators.ranges import range_join as range_join
 from millrace.operators.sessions import sessions as sessions
 from millrace.operators.sketches import distinct_estimate as distinct_estimate

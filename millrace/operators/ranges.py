@@ -1,14 +1,16 @@
-"""Range joins: points that lie in intervals, without a broadcast and without all against all."""
+"""Range joins: points that lie in intervals, without a broadcast and without all against all; and counts of them without pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Intervals that are broadcast to be held against every point: so few that this is cheaper than to deal out the points.
 FEW = 32
 #: Interval lengths of 2 ** LEVELS and more, infinite ones too, share the top level, of a single cell.
 LEVELS = 1000
+#: Bits of a whole number that one step of a running total over its 64 bits goes through: no task sorts more than 2 ** DIGIT rows of one group.
+DIGIT = 16
 
 
 def cell(x: Column, level: Column) -> Column:
@@ -51,3 +53,34 @@ def range_join(points: DataFrame, bands: DataFrame, point: str, low: str, high:
     right = right.withColumn("_on", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_at", cell(F.col(point).cast("double"), F.col("_on")))
     met = right.hint("merge").join(left, (F.col("_on") == F.col("_level")) & (F.col("_at") == F.col("_cell")) & within)
     return met.drop("_on", "_at", "_level", "_cell")
+
+
+def range_counts(points: DataFrame, bands: DataFrame, point: str, low: str, high: str, out: str) -> DataFrame:
+    """``points`` with ``out``: the number of rows of ``bands`` for which ``low <= point < high``.
+
+    As many as have begun by the point, less those that have ended: a running total over the different values of bounds and points, so the work goes by the rows
+    of both tables, never by the pairs. The total is carried down a tree over the values' bits, DIGIT at a time: each node's sum is added to what lies
+    before its parent and before it in its parent, which are at most 2 ** DIGIT rows however the values crowd.
+
+    Points and bounds are longs. Null points are in no band, bands with a null bound, empty and inverted ones hold no point: they count 0. Repeated rows
+    count each; empty tables are allowed. Points may have any columns but ``out`` and _at.
+    """
+    held = bands.filter(F.col(low) < F.col(high))
+    ends = held.select(F.inline(F.array(F.struct(F.col(low).alias("_at"), F.lit(1).cast("long").alias("_step")), F.struct(F.col(high).alias("_at"), F.lit(-1).cast("long").alias("_step")))))
+    asked = points.filter(F.col(point).isNotNull()).select(F.col(point).alias("_at"), F.lit(0).cast("long").alias("_step"))
+    sums = [ends.unionByName(asked).groupBy("_at").agg(F.sum("_step").alias("_step"))]
+    for _ in range(DIGIT, 64, DIGIT):
+        sums.append(sums[-1].groupBy(F.shiftright("_at", DIGIT).alias("_at")).agg(F.sum("_step").alias("_step")))
+    before = Window.partitionBy("_up").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    total = None
+    for level in reversed(sums):  # _before: the sum of all that comes before a node
+        inside = F.coalesce(F.sum("_step").over(before), F.lit(0).cast("long"))
+        if total is None:
+            total = level.withColumn("_up", F.lit(0)).select("_at", "_step", inside.alias("_before"))
+            continue
+        above = total.select(F.col("_at").alias("_node"), F.col("_before").alias("_carried"))
+        met = level.withColumn("_up", F.shiftright("_at", DIGIT)).join(above.hint("merge"), F.col("_up") == F.col("_node"))
+        total = met.select("_at", "_step", (F.col("_carried") + inside).alias("_before"))
+    counts = total.select("_at", (F.col("_before") + F.col("_step")).alias(out))
+    found = points.join(counts.hint("merge"), F.col(point) == F.col("_at"), "left")
+    return found.withColumn(out, F.coalesce(out, F.lit(0).cast("long"))).drop("_at")

@@ -8,8 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import plans
 from millrace.functions import micros
-from millrace.operators import range_join, sessions
+from millrace.operators import range_counts, range_join, sessions
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -89,3 +90,28 @@ def test_range_join_neither_broadcasts_nor_loops(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Broadcast" not in plan
     assert got.count() == sum(2 * j <= p < 2 * j + 3 for p in range(10_004) for j in range(max(0, p // 2 - 2), min(5000, p // 2 + 1)))
+
+
+def test_range_counts_are_those_of_the_join(spark):
+    draw = random.Random(3)
+    values = [draw.randrange(-300, 300) for _ in range(300)] + [draw.randrange(-(2**62), 2**62) for _ in range(60)] + [-(2**63), 2**63 - 1, 0, -1, 65535, 65536, 2**48, -(2**48), None]
+    points = list(enumerate(values + values[:50]))
+    bands = [(j, x, x + draw.choice([0, 1, 7, 90, 70_000, 2**33, 2**50])) for j, x in enumerate([draw.randrange(-350, 350) for _ in range(200)] + [draw.randrange(-(2**62), 2**61) for _ in range(60)])]
+    bands += [(300 + j, *b) for j, b in enumerate([(5, 4), (None, 3), (3, None), (-(2**63), 2**63 - 1), (-1, 0), (65535, 65536)] * 2)]
+    got = range_counts(spark.createDataFrame(points, "i long, p long"), spark.createDataFrame(bands, "j long, lo long, hi long"), "p", "lo", "hi", "n")
+    assert got.columns == ["i", "p", "n"]
+    want = dict.fromkeys(range(len(points)), 0)
+    for i, _ in brute(points, bands):
+        want[i] += 1
+    assert {r["i"]: r["n"] for r in got.collect()} == want
+    none = spark.createDataFrame([], "j long, lo long, hi long")
+    assert [r["n"] for r in range_counts(spark.createDataFrame([(1, 5)], "i long, p long"), none, "p", "lo", "hi", "n").collect()] == [0]
+
+
+def test_open_sessions_are_counted_without_pairs(spark, tmp_path):
+    # 20,000 users of one session each, all open at 20,000 purchases: 400 million pairs
+    rows = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_micros(1_700_000_000_000_000 + F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("purchase").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.sessions_at_purchases(spark, str(tmp_path))
+    assert "_level" not in got._jdf.queryExecution().optimizedPlan().toString()  # no join of points with intervals
+    assert got.agg(F.count("*"), F.min(F.col("n_sessions") - F.col("event_id")), F.max(F.col("n_sessions") - F.col("event_id"))).first()[:] == (20_000, 1, 1)
