@@ -9,9 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A chunk is some ASCII white space and then a run of anything else.
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
-#: Characters that one library or the other takes for white space, beside those of CHUNK.
+#: Characters that one library or the other takes for white space, beside blank, tab and line ends.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 #: Western letters, then ASCII marks without apostrophe: the tokenizer parts the two, and keeps each apart from neighbours.
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)")
@@ -143,9 +141,8 @@ def word_tokenizer(path: str) -> Encode:
 def rank_tokenizer(path: str, pattern: str) -> Encode:
     """Ids of whole texts by a ``tiktoken`` rank file; decoding them gives the text again.
 
-    The pattern never matches across the end of a word, so chunks of white space and a
-    word are encoded apart. Texts with rarer white space are encoded whole.
-    ``forget()`` of what is returned drops the chunks kept.
+    Texts go to the tokenizer as they are: that costs less than to look up each word among those met before. The pattern never matches across the end of a
+    word, so long texts are cut there; those with rarer white space are encoded whole. Nothing is kept; ``forget()`` is there for callers of either tokenizer.
     """
     import base64
 
@@ -155,17 +152,9 @@ def rank_tokenizer(path: str, pattern: str) -> Encode:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     one = lambda text: np.asarray(encoding.encode_ordinary(text), "<u4").tobytes()
-    known = Kept(lambda words: [one(w) for w in words], KEPT_RUNS)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if any(len(t) > PART for t in texts):
-            return [one(t) if ODD.search(t) else b"".join(plainly([p])[0] for p in parts_of(t)) if len(t) > PART else plainly([t])[0] for t in texts]
-        return plainly(texts)
-
-    def plainly(texts: list[str]) -> list[bytes]:
-        split = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
-        known.learn(set().union(*[s for s in split if s]))
-        return [one(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
+        return [one(t) if len(t) <= PART or ODD.search(t) else b"".join(map(one, parts_of(t))) for t in texts]
 
-    encode.forget = known.forget
+    encode.forget = lambda: None
     return encode

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -142,3 +143,9 @@ def test_ids_come_along(small, odd):
         for r in packing.pack_documents(small.unionByName(odd.select(*small.columns)), WORDS, keep_ids=kind).collect():
             ids = np.frombuffer(r["ids"], kind).astype("<u4")
             assert len(ids) == r["length"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+
+
+def test_rank_tokenizer_keeps_no_words(monkeypatch):
+    monkeypatch.setattr(tokens, "Kept", None)  # a look-up of each word costs more than to encode it
+    encode = tokens.rank_tokenizer.__wrapped__(RANKS, public_tokenizers.PATTERN)
+    assert [len(x) > 0 for x in encode(["", "a few words\n of text "])] == [False, True]
