@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 
@@ -17,8 +18,10 @@ PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{}~
 ONE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+")
 #: A text, in lower case, that consists of such runs and white space alone.
 PURE = re.compile(r"[a-zß-öø-ÿ0-9 \t\n\r!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*")
-#: Bytes that a task keeps of words, and of runs, with their ids, about; beyond that it starts afresh. Longer texts are never kept.
-KEPT_WORDS, KEPT_RUNS, LONGEST = 16 << 20, 40 << 20, 256
+#: Where a stop or comma may be one run with a mark before it; elsewhere it may be parted from its word, so that the two are not kept as one more word.
+MARKS = re.compile(r"[!-/:-@\[-`{-~][.,]")
+#: Bytes that a task keeps of words, of words of pure texts, and of runs, with their ids, about; beyond that it starts afresh. Longer texts are never kept.
+KEPT_WORDS, KEPT_PURE, KEPT_RUNS, LONGEST = 16 << 20, 96 << 20, 40 << 20, 256
 #: Bytes of an entry beside the text and its ids: two objects' heads and a place in the table.
 HEAD = 190
 
@@ -58,7 +61,7 @@ class Kept(dict):
         if self.bytes > self.most:
             self.clear()
             self.bytes = 0
-        new = [t for t in texts if t not in self]
+        new = list(texts.difference(self))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.encode(part)
@@ -90,12 +93,22 @@ def word_tokenizer(path: str) -> Encode:
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def one_by_one(words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def pure_by_ends(words: list[str]) -> list[bytes]:
+        """Words of pure texts are encoded as one text, and told apart by how many runs each has."""
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        runs = list(accumulate([1 if w.isalpha() else len(ONE.findall(w)) for w in words]))
+        if not words or runs[-1] != len(at):
+            return one_by_one(words)
+        raw, at = ids.tobytes(), (4 * at[np.asarray(runs) - 1]).tolist()
+        return [raw[a:b] for a, b in pairwise([0, *at])]
 
     def by_ends(words: list[str]) -> list[bytes]:
         """Single runs are encoded as one text and told apart by the ids that end words; others one by one."""
         single = [w for w in words if ONE.fullmatch(w)]
-        ids = np.asarray(tokenizer.encode(" ".join(single), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(single)], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(ends[ids]) + 1
         if len(at) != len(single):
             return one_by_one(words)
@@ -114,7 +127,7 @@ def word_tokenizer(path: str) -> Encode:
         runs.learn({*heads, *tails})
         return [runs[a] + runs[b] if b else runs[a] for a, b in zip(heads, tails)]
 
-    known = Kept(by_runs, KEPT_WORDS)
+    known, pure_words = Kept(by_runs, KEPT_WORDS), Kept(pure_by_ends, KEPT_PURE)
 
     def encode(texts: list[str]) -> list[bytes]:
         if any(len(t) > PART for t in texts):
@@ -123,9 +136,9 @@ def word_tokenizer(path: str) -> Encode:
 
     def plainly(texts: list[str]) -> list[bytes]:
         lower = [t.lower() for t in texts]
-        pure = [ONE.findall(t) if PURE.fullmatch(t) else None for t in lower]
-        runs.learn(set().union(*[p for p in pure if p]))
-        out = [b"".join(map(runs.__getitem__, p)) if p is not None else None for p in pure]
+        pure = [(t if MARKS.search(t) else t.replace(". ", " . ").replace(".\n", " .\n").replace(", ", " , ")).split() if PURE.fullmatch(t) else None for t in lower]
+        pure_words.learn(set().union(*[p for p in pure if p]))
+        out = [b"".join(map(pure_words.__getitem__, p)) if p is not None else None for p in pure]
         rest = [i for i, p in enumerate(pure) if p is None]
         split = [texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i in rest]
         known.learn(set().union(*split))
@@ -133,7 +146,7 @@ def word_tokenizer(path: str) -> Encode:
             out[i] = b"".join(map(known.__getitem__, words))
         return out
 
-    encode.forget = lambda: (runs.forget(), known.forget())
+    encode.forget = lambda: (runs.forget(), known.forget(), pure_words.forget())
     return encode
 
 

@@ -149,3 +149,24 @@ def test_rank_tokenizer_keeps_no_words(monkeypatch):
     monkeypatch.setattr(tokens, "Kept", None)  # a look-up of each word costs more than to encode it
     encode = tokens.rank_tokenizer.__wrapped__(RANKS, public_tokenizers.PATTERN)
     assert [len(x) > 0 for x in encode(["", "a few words\n of text "])] == [False, True]
+
+
+def test_stops_and_commas_beside_marks_and_words_kept_apart():
+    encode, plain = tokens.word_tokenizer(WORDS), Tokenizer.from_file(WORDS)
+    draw = random.Random(8)
+    parts = ["the", "Éau", "x9", "12", ".", ",", "..", "...", ",.", "!", "-", "\\", "`", "~", " ", " ", "\n", "\t", "\r", "ß", "thendingle"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(60))) for _ in range(400)] + ["", " . ", "a.. b", "a , b., c", "one, two. three.\nfour."]
+    for text, raw in zip(texts, encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_word_before_a_stop_is_kept_once():
+    encode, words = tokens.word_tokenizer.__wrapped__(WORDS), []
+    learn = tokens.Kept.learn
+    try:
+        tokens.Kept.learn = lambda self, texts: (words.append(texts), learn(self, texts))[1]
+        encode(["one, two. one two one"])
+    finally:
+        tokens.Kept.learn = learn
+    assert {"one", "two", ",", "."} in words and not any("one," in w for w in words)
+    assert not any(x and x <= {"one", "two"} for x in words)  # no second table of the same words
