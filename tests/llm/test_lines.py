@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from millrace.llm import lines
@@ -74,3 +76,19 @@ def test_long_lines_recur_from_two_documents_on(spark):
     # rows of one doc_id are one document, in which nothing recurs
     same = spark.createDataFrame([(2, long), (2, f"x\n{long}")], "doc_id long, text string")
     assert sorted(r["n_dropped"] for r in lines.drop_recurring(same).collect()) == [0, 0]
+
+
+def test_lines_are_parsed_as_bytes_as_by_split(monkeypatch):
+    """Tokens, lines and fields are those of ``str.split`` and ``split("\\n")``; equal tokens, and only they, have equal hashes."""
+    draw = random.Random(3)
+    pieces = [*"ab1é€​⁠—\U0001f600\x00", "<*>", "x" * 64, "x" * 65, *filter(str.isspace, map(chr, range(0x3001))), *["\n"] * 6]
+    mark = lambda t: "<*>" if re.search("[0-9]", t) else t
+    for step in (lines.STEP, 1, 50):
+        monkeypatch.setattr(lines, "STEP", step)
+        for _ in range(60):
+            texts = [None if draw.random() < 0.1 else "".join(draw.choices(pieces, k=draw.randrange(50))) for _ in range(draw.randrange(9))]
+            row, nth, first, hashes = lines.parsed(pa.array([None, *texts], pa.string())[1:])
+            want = [(i, n, list(map(mark, line.split()))) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) if line.split()]
+            assert [(i, n, e - b) for i, n, b, e in zip(row, nth, first, first[1:])] == [(i, n, len(t)) for i, n, t in want]
+            pairs = set(zip([t for _, _, found in want for t in found], hashes.tolist()))
+            assert len(pairs) == len({t for t, _ in pairs}) == len({h for _, h in pairs})
