@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -109,19 +109,20 @@ def row_key(doc_id: Column, text_hash: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
 
 
-def keyed(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """(doc_id, text_hash, set, n, bands) for each row of ``docs``: its set's key and size, and the keys of its bands."""
-    bands = band_count(like)
+def keyed(docs: DataFrame, like: float = LIKE, prints: bool = False) -> DataFrame:
+    """(doc_id, text_hash, set, n, bands) for each row of ``docs``: its set's key and size, and the keys of its bands; with ``prints`` its fingerprint fp comes last."""
+    bands, of_set = band_count(like), [set_key, len, *[set_print] * prints]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 sets = [shingle_hashes(text) for text in part.column(2).to_pylist()]
-                longs = [pa.array([of(x) for x in sets], pa.int64()) for of in (set_key, len)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "set", "n", "bands"])
+                longs = [pa.array([of(x) for x in sets], pa.int64()) for of in of_set]
+                keys = pa.array([band_keys(x, bands) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs[:2], keys, *longs[2:]], ["doc_id", "text_hash", "set", "n", "bands", *["fp"] * prints])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return named.mapInArrow(run, "doc_id long, text_hash long, set long, n long, bands array<long>")
+    return named.mapInArrow(run, "doc_id long, text_hash long, set long, n long, bands array<long>" + ", fp long" * prints)
 
 
 def agreement(x: Column, y: Column) -> Column:
@@ -306,17 +307,20 @@ def prefixes(sets: DataFrame, held: DataFrame, like: float) -> DataFrame:
     return own.select("set", "hashes").mapInArrow(run, "bucket long, set long, n long")
 
 
-def links(docs: DataFrame, prints: DataFrame, like: float = LIKE, radius: int | None = None) -> DataFrame:
+def links(docs: DataFrame, prints: DataFrame, like: float = LIKE, radius: int | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) of sets of likeness ``like`` or more that join all sets such pairs join.
 
-    Sets meet in the buckets of their bands; buckets of the same sets are one. The sets of a bucket of at most FEW are compared in one place. In a larger
+    Sets meet in the buckets of their bands, and in those (bucket, set, n) that ``near`` makes of all sets (set, n, fp), if it is given; buckets of the same sets are one. The sets of a bucket of at most FEW are compared in one place. In a larger
     one each is held against the least, which settles groups of near copies. Where that leaves several components, its sets are dealt out
     anew by their rarest shingles, which parts what only shares a frame; the new buckets are treated likewise, and in those that are large even
     then, the sets outside the main component meet all others block by block. Sizes and signatures, and fingerprints within ``radius`` bits if
     that is given, sift what is compared; the whole sets decide.
     """
-    marked = cut(prints.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    shared = cut(different(marked.select("set", "n", F.explode("bands").alias("bucket"))))
+    marked = cut(prints.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first("fp").alias("fp")] * (near is not None)))
+    buckets = marked.select("set", "n", F.explode("bands").alias("bucket"))
+    if near is not None:
+        buckets = buckets.unionByName(cut(near(marked.select("set", "n", "fp"))))
+    shared = cut(different(buckets))
     held = cut(hash_sets(docs, marked.select("set", "row"), shared))
     small = (F.col("size") <= FEW) & (F.col("total") <= WEIGHT)
 
@@ -348,9 +352,9 @@ def links(docs: DataFrame, prints: DataFrame, like: float = LIKE, radius: int |
     return edges if open_.isEmpty() else edges.unionAll(cut(against_rest(open_, held, like, radius)))
 
 
-def placed(docs: DataFrame, prints: DataFrame, like: float, radius: int | None = None) -> DataFrame:
+def placed(docs: DataFrame, prints: DataFrame, like: float, radius: int | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, text_hash, n, component_id, component) for each row of ``prints``; rows of equal sets are one."""
-    roots = components(links(docs, prints, like, radius))
+    roots = components(links(docs, prints, like, radius, near))
     distinct = prints.groupBy("set").agg(F.min("doc_id").alias("least"))
     with_roots = cut(distinct.join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("root", "set").alias("root")))
     names = with_roots.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("_root"), "component_id")
